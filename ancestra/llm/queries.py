@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ancestra.llm import quality
-from ancestra.llm.storage import documents
+from ancestra.llm import packing, quality, wavelet
+from ancestra.llm.storage import documents, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    wavelet.write(documents(spark, sf_dir), folder)
+    return wavelet.read(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op7_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
