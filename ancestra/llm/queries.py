@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ancestra.llm import packing, quality, wavelet
+from ancestra.llm import media, packing, quality, secrets, wavelet
 from ancestra.llm.storage import documents, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,14 +22,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "n_guess", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     wavelet.write(documents(spark, sf_dir), folder)
     return wavelet.read(spark, folder)
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.fingerprint(media.encode(documents(spark, sf_dir)))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature().alias("feature"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op7_token_output)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_secret_scans, op7_token_output, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
