@@ -62,7 +62,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = scan.text_array(batch.column(1))
         for at in range(0, len(raw), 1000):
             part = raw.slice(at, 1000).to_pylist()
-            columns = [batch.column(0).slice(at, 1000), pa.array(map(len, part), pa.int64(), len(part)), pa.array([to_wav(payload(x)) for x in part], pa.binary())]
+            columns = [batch.column(0).slice(at, 1000), pa.array([len(x) for x in part], pa.int64()), pa.array([to_wav(payload(x)) for x in part], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media"])
 
 
