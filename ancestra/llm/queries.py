@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ancestra.llm import cover, media, packing, quality, secrets, suffix, wavelet
+from ancestra.llm import cover, media, mixing, packing, pii, quality, secrets, suffix, wavelet
 from ancestra.llm.storage import documents, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,19 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", "n_guess", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_found", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(documents(spark, sf_dir))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     wavelet.write(documents(spark, sf_dir), folder)
@@ -47,8 +56,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_secret_scans, op5_suffix_array_dedup, op7_token_output, op9_media_columns, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_secret_scans, op4_personal_data, op5_suffix_array_dedup, op6_source_mixing, op7_token_output, op9_media_columns, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": mixing.ORACLE_SQL}
