@@ -1,0 +1,33 @@
+"""Connected components by DataFrame operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ancestra.llm.storage import checkpointed
+
+
+def _print(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    return tuple(row)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the least node of its component) of all ends of edges (a, b).
+
+    Large stars hang each node's greater neighbours on its least one, small stars
+    its lesser ones; both in turn leave a star a component after a few rounds."""
+    held = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = _print(held)
+    while True:
+        both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        held = checkpointed(small.distinct())
+        now = _print(held)
+        if now == before:
+            return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = now

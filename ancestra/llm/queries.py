@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ancestra.llm import cover, media, mixing, packing, pii, quality, secrets, suffix, wavelet
+from ancestra.llm import cover, jaccard, media, mixing, packing, pii, quality, secrets, suffix, wavelet
 from ancestra.llm.storage import documents, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, folder)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(documents(spark, sf_dir), size=3, percent=90)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.fingerprint(media.encode(documents(spark, sf_dir)))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature().alias("feature"))
@@ -56,7 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_secret_scans, op4_personal_data, op5_suffix_array_dedup, op6_source_mixing, op7_token_output, op9_media_columns, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_secret_scans, op4_personal_data, op5_suffix_array_dedup, op6_source_mixing, op7_token_output, op8_jaccard_join, op9_media_columns, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
