@@ -9,10 +9,12 @@ is never shuffled more than once a batch, and no task holds a group of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ancestra.llm import scan
@@ -20,14 +22,46 @@ from ancestra.llm import scan
 #: Not known to repeat; known to; known to, and of no use to other places.
 UNKNOWN, KNOWN, SETTLED = 0, 1, 2
 
-SCHEMA = "g long, g2 long, key long, pos int, n int, state int"
-NAMES = ["g", "g2", "key", "pos", "n", "state"]
+#: ``at`` packs pos, a number n below 2 ** 14 and the state.
+SCHEMA = "g long, g2 long, key long, at long"
+NAMES = ["g", "g2", "key", "at"]
+
+#: What is dealt out: rows of one range of hashes, column by column, in one value.
+DEALT = "part int, n int, rows binary"
+
+#: Hashes keep their first 48 bits here; those that decide anything come in pairs.
+SHORT = np.uint64(16)
+BITS = 48
+
+#: Ranges of hashes for each shuffle partition; one range is in memory at a time.
+RANGES = 8
+
+
+def pos_of(at: Column | np.ndarray) -> Column | np.ndarray:
+    return F.shiftright(at, 16) if isinstance(at, Column) else at >> 16
+
+
+def n_of(at: np.ndarray) -> np.ndarray:
+    return (at >> 2) & 0x3FFF
+
 
+def state_of(at: Column | np.ndarray) -> Column | np.ndarray:
+    return at.bitwiseAND(F.lit(3)) if isinstance(at, Column) else at & 3
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id and text; rows equal in both get one key and count as one document."""
+
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or comes twice, so that it can stand for its row."""
+    counts = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    odd = counts.where("doc_id is null or n > 1")
+    return odd.isEmpty()
+
+
+def keyed(docs: DataFrame, by_id: bool = False) -> DataFrame:
+    """key, doc_id and text. The key is a hash of both, so rows equal in both count as
+    one document, or the doc_id itself, which takes less room, if by_id says it can."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    key = F.coalesce("doc_id", F.lit(0)) if by_id else F.xxhash64("doc_id", "text")
+    return rows.select(key.alias("key"), "doc_id", "text")
 
 
 def first_rows(key: np.ndarray) -> np.ndarray:
@@ -37,9 +71,34 @@ def first_rows(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def batch_of(g: np.ndarray, g2: np.ndarray, key: np.ndarray, pos: np.ndarray, n: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (g, g2, key)] + [pa.array(x.astype(np.int32)) for x in (pos, n, state)]
-    return pa.RecordBatch.from_arrays(columns, NAMES)
+def parts_of(spark: SparkSession) -> int:
+    return RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bytes(columns: list[np.ndarray], first: int, last: int) -> bytes:
+    """Rows first to last: of each column all first bytes, then all second ones, and so
+    on, which the shuffle's compression makes short."""
+    return b"".join(c[first:last].view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
+
+def _columns(raw: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, 8, n)
+    return [np.ascontiguousarray(p.T).view(np.uint64).reshape(-1) for p in planes]
+
+
+def scatter(g: np.ndarray, g2: np.ndarray, key: np.ndarray, pos: np.ndarray, n: np.ndarray, state: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The rows of a batch by ranges of g."""
+    order = np.argsort(g)
+    at = pos.astype(np.int64) << 16 | n.astype(np.int64) << 2 | state
+    g, g2, key, at = (np.ascontiguousarray(x[order]).view(np.uint64) for x in (g, g2, key, at))
+    part = ((g >> np.uint64(BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = groups(part)
+    ends = np.append(starts[1:], len(g))
+    step = g.copy()
+    step[1:] -= g[:-1]
+    step[starts] = g[starts]
+    rows = [_bytes([step, g2, key, at], a, b) for a, b in zip(starts.tolist(), ends.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(rows, pa.binary())], ["part", "n", "rows"])
 
 
 def apart(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -67,15 +126,38 @@ def at_two_places(starts: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.nd
     return differ
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def _twice(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    columns = [_columns(raw, n) for n, raw in held]
+    g = np.concatenate([np.cumsum(c[0]) for c in columns])
+    g2, key, at = (np.concatenate([c[k] for c in columns]) for k in (1, 2, 3))
+    order = np.lexsort((g2, g))
+    g, g2, key, at = g[order], g2[order], key[order].view(np.int64), at[order].view(np.int64)
+    starts = groups(g, g2)
+    two = at_two_places(starts, key, pos_of(at)) | (np.maximum.reduceat(state_of(at), starts) > UNKNOWN)
+    keep = np.repeat(two, np.diff(np.append(starts, len(g))))
+    return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (g, g2, key, at)], NAMES)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, bytes]] = []
+    last = None
+    for batch in batches:
+        for part, n, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and part != last:
+                yield _twice(held)
+                held = []
+            last = part
+            held.append((n, rows))
+    if held:
+        yield _twice(held)
+
+
+def repeated(dealt: DataFrame) -> DataFrame:
     """Rows whose (g, g2) stands at two places at least, or whose state says so.
 
-    The rows are dealt out once; counting and looking up share that exchange."""
-    dealt = rows.repartition("g", "g2")
-    ends = [f(c).alias(f"{name}_{c}") for c in ("key", "pos") for name, f in (("least", F.min), ("most", F.max))]
-    seen = dealt.groupBy("g", "g2").agg(*ends, F.max("state").alias("known"), F.max("n").alias("longest"))
-    twice = seen.where("(least_key <> most_key or least_pos <> most_pos or known > 0) and longest >= 0")
-    return dealt.join(twice.select("g", "g2"), ["g", "g2"], "left_semi")
+    Ranges of hashes meet one after another, each small: there are more of them the
+    more shuffle partitions there are, and a hash comes about once a batch."""
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered, SCHEMA)
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:

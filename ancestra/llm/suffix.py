@@ -205,7 +205,7 @@ def _order_of(doc_id: pa.Array) -> np.ndarray:
     return doc_id.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, ranges: int):
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, ids = batch.column(0).to_numpy(), _order_of(batch.column(1))
@@ -215,7 +215,7 @@ def _anchors(length: int, gram: int):
                 g, start, n, content, within = _segments(texts, length, gram)
                 doc = np.searchsorted(texts.bounds, start, "right") - 1
                 row, use = texts.first + doc, fresh[texts.first + doc]
-                parts.append([x[use] for x in (g, content, ids[row], key[row], start - texts.bounds[doc], n, within)])
+                parts.append([x[use] for x in (g >> places.SHORT, content, ids[row], key[row], start - texts.bounds[doc], n, within)])
             if not parts:
                 continue
             g, content, ids, key, pos, n, within = (np.concatenate(x) for x in zip(*parts))
@@ -234,8 +234,8 @@ def _anchors(length: int, gram: int):
             later = np.zeros(len(g), bool)
             later[1:] = (g[1:] == g[:-1]) & (content[1:] == content[:-1])
             state[later] = places.SETTLED
-            g[later] = places.apart(key[later], pos[later])
-            yield places.batch_of(g, np.zeros_like(g), key, pos, n, state)
+            g[later] = places.apart(key[later], pos[later]) >> places.SHORT
+            yield places.scatter(g, np.zeros_like(g), key, pos, n, state, ranges)
 
     return anchored
 
@@ -251,8 +251,8 @@ def _pieces(length: int):
         for batch in batches:
             key, ids = batch.column(0).to_numpy(), _order_of(batch.column(1))
             bounds, values = places.lists(batch.column(3))
-            h, pos, n, state = (values.field(k).to_numpy(zero_copy_only=False) for k in ("g", "pos", "n", "state"))
-            h, pos, n = h.astype(np.int64), pos.astype(np.int64), n.astype(np.int64)
+            h, at = (values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("g", "at"))
+            pos, n, state = places.pos_of(at), places.n_of(at), places.state_of(at)
             for texts in scan.blocks(batch.column(2)):
                 lo, hi = bounds[texts.first], bounds[texts.first + texts.n]
                 if lo == hi:
@@ -365,13 +365,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def covered_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Runs (key, start, size in bytes) that cover all bytes to be removed; see places.keyed."""
+def covered_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Runs (key, start, size in bytes) that cover all bytes of rows (see places.keyed) to be removed."""
     if not 0 < gram <= length:
         raise ValueError("a gram must not be longer than the strings")
-    rows = places.keyed(docs)
-    anchors = places.repeated(rows.mapInArrow(_anchors(length, gram), places.SCHEMA))
-    by_doc = anchors.groupBy("key").agg(F.collect_list(F.struct("g", "pos", "n", "state")).alias("segments"))
+    ranges = places.parts_of(rows.sparkSession)
+    anchors = places.repeated(rows.mapInArrow(_anchors(length, gram, ranges), places.DEALT))
+    by_doc = anchors.groupBy("key").agg(F.collect_list(F.struct("g", "at")).alias("segments"))
     found = rows.repartition("key").join(by_doc, "key").select("key", "doc_id", "text", "segments")
     pieces = found.mapInArrow(_pieces(length), _PIECES).repartition("h").sortWithinPartitions("h")
     return pieces.mapInArrow(_covered_runs(length), "key long, start long, size long")
@@ -379,6 +379,7 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """What is left of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    runs = covered_runs(docs, length, gram).groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
-    rows = places.keyed(docs).repartition("key").join(runs, "key", "left")
-    return rows.select("doc_id", "text", "runs").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = places.keyed(docs, places.ids_are_keys(docs))
+    runs = covered_runs(rows, length, gram).groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    joined = rows.repartition("key").join(runs, "key", "left")
+    return joined.select("doc_id", "text", "runs").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
