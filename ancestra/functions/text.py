@@ -32,7 +32,7 @@ def title_key(title: Column) -> Column:
 def display_name(name: Column) -> Column:
     """`Family, Given 1950-` as `Given Family`; some scripts keep the family name first."""
     bare = F.regexp_replace(name, r"\s+[0-9]{4}-([0-9]{4})?$", "")
-    parts = F.transform(F.split(bare, ","), F.trim)
+    parts = F.transform(F.split(bare, ","), lambda p: F.trim(p))
     ordered = F.when(bare.rlike(FAMILY_FIRST), parts).otherwise(F.reverse(parts))
     joined = F.array_join(F.filter(ordered, lambda p: p != ""), " ")
     return F.when(F.size(parts) == 2, joined).otherwise(bare)
