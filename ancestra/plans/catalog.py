@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ancestra.functions import text
-from ancestra.operators import clean, content, crawl, metrics, narrative, present, recover, stats, temporal, walks
+from ancestra.operators import clean, content, crawl, metrics, models, narrative, present, recover, stats, temporal, walks
 from ancestra.plans import fixtures as fx
 from ancestra.plans.storage import checkpointed
 
@@ -757,3 +757,40 @@ def lineage_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = walks.ranked(scores)
     shown = checkpointed(top.select("origin", "id").union(g.origins.select("origin", F.col("origin").alias("id"))))
     return present.lineage_payload(scores, g.works, walks.skeleton(g.lineage, shown), {"in_degree": walks.in_degree(g.lineage, g.reached), "path_weight": walks.path_weight(g.lineage, g.reached)})
+
+
+# The learned scorer
+
+
+def _trained(spark: SparkSession, sf_dir: str, score: DataFrame | None = None) -> DataFrame:
+    """Logits of labelled pairs of each split, and of pairs to score, by a model trained on the first."""
+    works, edges = _split(spark, sf_dir)
+    past = edges.where("split IN ('train', 'undated')")
+    traits = temporal.features(works, past)
+    none = F.lit(None)
+    node = traits.select(F.lit("node").alias("kind"), F.col("id").alias("a"), none.cast("string").alias("b"), F.array(*(F.col(c).cast("double") for c in models.FEATURES)).alias("x"), none.cast("string").alias("split"), none.cast("int").alias("label"))
+
+    def ends(kind: str, pairs: DataFrame, split: str | None, label: int | None) -> DataFrame:
+        return pairs.select(F.lit(kind).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), none.cast("array<double>").alias("x"), F.lit(split).cast("string").alias("split"), F.lit(label).cast("int").alias("label"))
+
+    rows = node.union(ends("message", past, None, None))
+    for name in ("train", "test"):
+        positive = edges.where(F.col("split") == name)
+        rows = rows.union(ends("pair", positive, name, 1)).union(ends("pair", temporal.negatives(positive, works, edges), name, 0))
+    if score is not None:
+        rows = rows.union(ends("pair", score, "score", 0))
+    return models.trained(rows.withColumn("cut", F.lit("all")), epochs=40)
+
+
+@query()
+def gnn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits = _trained(spark, sf_dir).select("split", F.col("logit").alias("score"), "label")
+    return metrics.roc_auc(checkpointed(logits), ["split"])
+
+
+@query()
+def learned_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Lineage(spark, sf_dir)
+    chance = _trained(spark, sf_dir, g.lineage).where("split = 'score'").select("source", "target", models.probability(F.col("logit")).alias("probability"))
+    weighted = checkpointed(content.content_weights(g.lineage, content.tfidf(g.works), checkpointed(chance)))
+    return walks.ranked(walks.flow(weighted, g.reached, g.years))
