@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ancestra.llm import cover, jaccard, media, mixing, packing, pii, quality, secrets, suffix, wavelet
+from ancestra.llm import cover, jaccard, media, mixing, oracles, packing, pii, quality, secrets, suffix, wavelet
 from ancestra.llm.storage import documents, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,4 +64,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE_SQL}
+    return {
+        "op5_suffix_array_dedup": oracles.SUBSTRING_BYTES,
+        "op6_source_mixing": mixing.ORACLE_SQL,
+        "op8_jaccard_join": oracles.JACCARD,
+        "op10_substring_dedup": oracles.SUBSTRING_WORDS,
+    }
