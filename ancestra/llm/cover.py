@@ -5,7 +5,7 @@ within the period after which both lie in it. So if short windows are hashed
 only where a word's place in its document, modulo the period, is in the cover,
 two equal long windows share an aligned anchor, wherever they stand. Anchors
 that stand at two places are then extended: the long windows around them are
-hashed with 128 bits, and those at two places are removed.
+hashed with 96 bits, and those at two places are removed.
 
 Defined cases: a null or empty text has no words; rows equal in doc_id and text
 count as one document and get the same result, rows that share only the doc_id
@@ -31,27 +31,30 @@ PERIOD = 21
 
 
 def difference_cover(period: int) -> np.ndarray:
-    """A small set whose differences are all residues modulo period, found greedily."""
-    best: list[int] | None = None
-    for second in range(1, period // 2 + 1):
-        cover, missing = [0], set(range(1, period))
-        candidate: int | None = second
-        while missing and candidate is not None:
-            cover.append(candidate)
-            missing -= {(a - candidate) % period for a in cover} | {(candidate - a) % period for a in cover}
-            if missing:
-                gain = {c: len(missing & ({(a - c) % period for a in cover} | {(c - a) % period for a in cover})) for c in range(period) if c not in cover}
-                candidate = max(gain, key=lambda c: (gain[c], -c))
-        if best is None or len(cover) < len(best):
-            best = cover
-    return np.array(sorted(best or [0]))
+    """A least set whose differences are all residues modulo period."""
+
+    def extended(cover: list[int], missing: frozenset[int], room: int) -> list[int] | None:
+        if not missing:
+            return cover
+        if not room or len(missing) > room * (2 * len(cover) + room - 1):
+            return None
+        for c in range(cover[-1] + 1, period):
+            new = frozenset(d for a in cover for d in ((a - c) % period, (c - a) % period))
+            if found := extended([*cover, c], missing - new, room - 1):
+                return found
+        return None
+
+    for size in range(1, period + 1):
+        if found := extended([0], frozenset(range(1, period)), size - 1):
+            return np.array(found)
+    raise ValueError("no period")
 
 
 def _hashes(texts: scan.Texts, found: scan.Words, seed: int) -> np.ndarray:
     return scan.prefix_hash(scan.word_hashes(texts, found, seed), seed + 1)
 
 
-def _anchors(window: int, period: int):
+def _anchors(window: int, period: int, ranges: int):
     size = window - period + 1
     chosen = np.isin(np.arange(period), difference_cover(period))
 
@@ -67,37 +70,41 @@ def _anchors(window: int, period: int):
                 pos = at - found.bounds[doc]
                 use = chosen[pos % period] & fresh[texts.first + doc] & (np.diff(found.bounds)[doc] >= window)
                 at, pos, doc = at[use], pos[use], doc[use]
-                parts.append((scan.run_hash(_hashes(texts, found, 0), at, at + size, 1), key[texts.first + doc], pos))
+                parts.append((scan.run_hash(_hashes(texts, found, 0), at, at + size, 1) >> places.SHORT, key[texts.first + doc], pos))
             if parts:
-                yield settle(*(np.concatenate(x) for x in zip(*parts)))
+                yield settle(ranges, *(np.concatenate(x) for x in zip(*parts)))
 
     return anchored
 
 
-def settle(g: np.ndarray, key: np.ndarray, pos: np.ndarray, g2: np.ndarray | None = None) -> pa.RecordBatch:
+def settle(ranges: int, g: np.ndarray, key: np.ndarray, pos: np.ndarray, g2: np.ndarray | None = None, known: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of a batch: where it shows a hash twice, one row tells the others of it."""
     g2 = np.zeros_like(g) if g2 is None else g2
+    known = np.zeros(len(g), bool) if known is None else known
     order = np.lexsort((g2, g))
-    g, g2, key, pos = g[order], g2[order], key[order], pos[order]
+    g, g2, key, pos, known = g[order], g2[order], key[order], pos[order], known[order]
     starts = places.groups(g, g2)
     two = places.at_two_places(starts, key, pos)
+    if len(starts):
+        two |= np.logical_or.reduceat(known, starts)
     size = np.diff(np.append(starts, len(g)))
     state = np.repeat(np.where(two, places.KNOWN, places.UNKNOWN), size)
     alone = np.repeat(two, size)
     alone[starts] = False
-    g, g2 = np.where(alone, places.apart(key, pos), g), np.where(alone, np.uint64(0), g2)
-    return places.batch_of(g, g2, key, pos, np.ones(len(g), np.int64), state)
+    g, g2 = np.where(alone, places.apart(key, pos) >> places.SHORT, g), np.where(alone, np.uint64(0), g2)
+    return places.scatter(g, g2, key, pos, np.ones(len(g), np.int64), state, ranges)
 
 
-def _windows(window: int, period: int):
+def _windows(window: int, period: int, ranges: int):
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy()
             fresh = places.first_rows(key)
-            cuts, values = places.lists(batch.column(2))
+            cuts, values = places.lists(batch.column(3))
             anchor = values.to_numpy(zero_copy_only=False).astype(np.int64)
+            copied = batch.column(4).to_numpy(zero_copy_only=False)
             parts = []
-            for texts in scan.blocks(batch.column(1)):
+            for texts in scan.blocks(batch.column(2)):
                 found = scan.words(texts)
                 lo, hi = cuts[texts.first], cuts[texts.first + texts.n]
                 doc = np.repeat(np.arange(texts.n), np.diff(cuts[texts.first : texts.first + texts.n + 1]))
@@ -108,9 +115,10 @@ def _windows(window: int, period: int):
                 at = np.flatnonzero(scan.covered(first[some], (last - first + 1)[some], int(found.bounds[-1])))
                 doc = found.doc[at]
                 hashes = [scan.run_hash(_hashes(texts, found, seed), at, at + window, seed + 1) for seed in (0, 2)]
-                parts.append((hashes[0], key[texts.first + doc], at - found.bounds[doc], hashes[1]))
+                row = texts.first + doc
+                parts.append((hashes[0] >> places.SHORT, key[row], at - found.bounds[doc], hashes[1] >> places.SHORT, copied[row]))
             if parts:
-                yield settle(*(np.concatenate(x) for x in zip(*parts)))
+                yield settle(ranges, *(np.concatenate(x) for x in zip(*parts)))
 
     return extended
 
@@ -120,6 +128,7 @@ def _removed(window: int):
         for batch in batches:
             cuts, values = places.lists(batch.column(2))
             start = values.to_numpy(zero_copy_only=False).astype(np.int64)
+            copied = batch.column(3).to_numpy(zero_copy_only=False)
             total, gone, digest = [], [], []
             for texts in scan.blocks(batch.column(1)):
                 found = scan.words(texts)
@@ -127,6 +136,7 @@ def _removed(window: int):
                 doc = np.repeat(np.arange(texts.n), np.diff(cuts[texts.first : texts.first + texts.n + 1]))
                 at = start[cuts[texts.first] : cuts[texts.first + texts.n]] + found.bounds[doc]
                 kept = ~scan.covered(at, window, n)
+                kept &= ~(copied[texts.first : texts.first + texts.n] & (np.diff(found.bounds) >= window))[found.doc]
                 count = np.append(0, np.cumsum(kept))[found.bounds]
                 a, size = found.starts[kept], (found.ends - found.starts)[kept] + 1
                 ends = np.append(0, np.cumsum(size))
@@ -144,19 +154,33 @@ def _removed(window: int):
     return removed
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
-    """key and pos (in words) of each window that also starts elsewhere; see places.keyed."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
+    """key and pos (in words) of windows of rows (see places.keyed) that also start elsewhere.
+
+    Of documents with equal texts only the first is searched."""
     if not 0 < period <= window:
         raise ValueError("the period must not be longer than the window")
-    rows = places.keyed(docs)
-    anchors = places.repeated(rows.mapInArrow(_anchors(window, period), places.SCHEMA))
-    by_doc = anchors.groupBy("key").agg(F.collect_list("pos").alias("anchors"))
-    found = rows.select("key", "text").repartition("key").join(by_doc, "key")
-    return places.repeated(found.select("key", "text", "anchors").mapInArrow(_windows(window, period), places.SCHEMA)).select("key", "pos")
+    ranges = places.parts_of(rows.sparkSession)
+    anchors = places.repeated(rows.mapInArrow(_anchors(window, period, ranges), places.DEALT))
+    by_doc = anchors.groupBy("key").agg(F.collect_list(places.pos_of(F.col("at")).cast("int")).alias("anchors"))
+    by_doc = by_doc.join(copies(rows), "key", "left").where("first is null or first")
+    found = rows.repartition("key").join(by_doc, "key").select("key", "doc_id", "text", "anchors", F.col("first").isNotNull().alias("copied"))
+    return places.repeated(found.mapInArrow(_windows(window, period, ranges), places.DEALT)).select("key", places.pos_of(F.col("at")).cast("int").alias("pos"))
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """key of each document whose whole text another one has, and whether it is the first."""
+    hashed = rows.select("key", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("copy"), "text").alias("b"))
+    several = hashed.groupBy("a", "b").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    return hashed.join(several, ["a", "b"]).groupBy("key").agg(F.max(F.col("key") == F.col("least")).alias("first"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
-    """What is left of each document: doc_id, n_words, n_removed, kept_sha256."""
-    starts = repeated_windows(docs, window, period).groupBy("key").agg(F.collect_list("pos").alias("starts"))
-    rows = places.keyed(docs).repartition("key").join(starts, "key", "left")
-    return rows.select("doc_id", "text", "starts").mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    """What is left of each document: doc_id, n_words, n_removed, kept_sha256.
+
+    A document that another one copies whole loses all its words, if it has a window
+    at all; only the first of such documents takes part in the search of others."""
+    rows = places.keyed(docs, places.ids_are_keys(docs))
+    starts = repeated_windows(rows, window, period).groupBy("key").agg(F.collect_list("pos").alias("starts"))
+    joined = rows.repartition("key").join(starts, "key", "left").join(copies(rows), "key", "left")
+    return joined.select("doc_id", "text", "starts", F.col("first").isNotNull().alias("copied")).mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
