@@ -8,10 +8,12 @@ sizes are dealt into classes so that linked sets are in one class or two that
 adjoin, and each set is cut for its own class and the one below.
 
 Equal sets are one class from the start. Classes that share a fragment, directly
-or through others, form a block, a large one several; within two blocks the
-overlap of each pair of sets is counted fragment by fragment of the global order
-and summed by pair. Only links that join something leave a task, so no list of
-all pairs is ever made.
+or through others, form a component, which is dealt out in blocks by size class.
+First parity sketches are compared: each n-gram flips one bit of its set's, so two
+sketches differ in no more bits than the sets in n-grams, and a pair that differs
+in too many is none. Of what is left, the overlap of each pair of sets in two
+blocks is counted fragment by fragment of the global order and summed by pair.
+Only links that join something leave a task, so no list of all pairs is made.
 
 Defined cases: without words or text a document's set is empty and links with
 nothing; with fewer words than an n-gram has, the words are its only n-gram;
@@ -38,9 +40,13 @@ from ancestra.llm.storage import checkpointed
 #: Fragments beyond those needed, so that an empty one seldom has to be a key.
 EXTRA = 1
 
-#: Sets and n-grams in a block at most.
+#: Sets in a block at most, n-grams in it, and sketches in one.
 BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 21
+BLOCK_SKETCHES = 2048
+
+#: Bits of a sketch for each n-gram by which linked sets may differ, and at least.
+SKETCH_BITS, LEAST_BITS = 8, 512
 
 #: N-grams whose overlaps are counted at once.
 FRAGMENT = 4096
@@ -117,25 +123,49 @@ def fragment_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple
     return np.concatenate(docs_out), np.concatenate(keys_out)
 
 
+def sketch_bits(differ: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of each size class, a power of two."""
+    return 2 ** np.ceil(np.log2(np.maximum(differ * SKETCH_BITS, LEAST_BITS))).astype(np.int64)
+
+
+def parity_sketches(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> list[bytes]:
+    """One bit flipped by each n-gram of a set."""
+    n = np.diff(bounds)
+    first, differ = size_classes(percent, max(1 << 16, int(n.max(initial=1))))
+    bits = sketch_bits(differ)[np.maximum(np.searchsorted(first, n, "right") - 1, 0)]
+    start = np.append(0, np.cumsum(bits))
+    doc = np.repeat(np.arange(len(n)), n)
+    place = start[doc] + (hashes & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(start[-1])) & 1
+    raw = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist())]
+
+
 def _sketch(size: int, percent: int):
-    names = ["key", "doc_id", "n_shingles", "node", "other", "fragments"]
+    names = ["key", "doc_id", "n_shingles", "node", "other", "class", "fragments", "sketch"]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in scan.blocks(batch.column(2)):
                 hashes, bounds = sets(texts, size)
+                n = np.diff(bounds)
                 prefix = [scan.prefix_hash(x, s) for x, s in ((hashes, 6), (scan.mix(hashes), 7))]
                 node, other = (scan.run_hash(p, bounds[:-1], bounds[1:], s).view(np.int64) for p, s in zip(prefix, (6, 7)))
                 doc, key = fragment_keys(hashes, bounds, percent)
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(texts.n + 1))
                 fragments = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key[order].view(np.int64)))
+                first, _ = size_classes(percent, max(1 << 16, int(n.max(initial=1))))
+                own = np.searchsorted(first, n, "right") - 1
                 columns = [batch.column(k).slice(texts.first, texts.n) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(node), pa.array(other), fragments], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(node), pa.array(other), pa.array(own.astype(np.int32)), fragments, pa.array(parity_sketches(hashes, bounds, percent), pa.binary())], names)
 
     return sketched
 
 
+_MEMBER = ["root", "node", "class", "n", "block", "n_blocks"]
+
+
 def _with_sets(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +173,8 @@ def _with_sets(size: int):
                 hashes, bounds = sets(texts, size)
                 raw = hashes.astype("<u8").tobytes()
                 values = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                columns = [batch.column(k).slice(texts.first, texts.n) for k in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], ["root", "node", "block", "n_blocks", "grams"])
+                columns = [batch.column(k).slice(texts.first, texts.n) for k in range(1, 7)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], [*_MEMBER, "value"])
 
     return made
 
@@ -180,15 +210,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def spanning_links(left: list[np.ndarray], right: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
-    """Links between left and right sets (places in the lists) that join something new."""
-    shared = overlaps(left, right)
-    total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - shared
-    linked = 100 * shared >= percent * total
+def spanning(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Of a matrix of links those that join something new; same: rows are columns."""
     if same:
         np.fill_diagonal(linked, False)
     out: list[tuple[int, int]] = []
-    done_left, done_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    done_left, done_right = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool)
     for start in np.flatnonzero(linked.any(1)):
         if done_left[start]:
             continue
@@ -208,59 +235,105 @@ def spanning_links(left: list[np.ndarray], right: list[np.ndarray], same: bool,
     return out
 
 
-def _verify(percent: int):
-    """Rows come sorted by block pair; each pair's sets are compared together."""
+def linked_sets(left: list[bytes], right: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets (as bytes, of sizes a and b) link."""
+    shared = overlaps([np.frombuffer(x, "<u8") for x in left], [np.frombuffer(x, "<u8") for x in right])
+    return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
+
+
+def may_link(left: list[bytes], right: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of sizes a and b may link by their sketches."""
+    width = min(map(len, (*left, *right)))
+
+    def folded(raw: bytes) -> np.ndarray:
+        x = np.frombuffer(raw, np.uint64)
+        while len(x) * 8 > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    x, y = np.stack([folded(r) for r in left]), np.stack([folded(r) for r in right])
+    out = np.zeros((len(x), len(y)), bool)
+    for i in range(len(x)):
+        total = a[i] + b
+        least = -(-percent * total // (100 + percent))
+        near = np.bitwise_count(x[i] ^ y).sum(1, dtype=np.int64) <= total - 2 * least
+        out[i] = near & (100 * np.minimum(a[i], b) >= percent * np.maximum(a[i], b))
+    return out
+
+
+def _compare(judge, percent: int):
+    """Rows come sorted by task; each task's two blocks are compared together."""
 
     def joined(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1:3]
-        seen: dict[int, np.ndarray] = {}
-        sides: dict[int, list[int]] = {}
-        for _, _, _, block, node, grams in rows:
+        i, j = rows[0][2:4]
+        seen: set[int] = set()
+        sides: dict[int, list[tuple]] = {}
+        for _, _, _, _, block, node, n, value in rows:
             if node not in seen:
-                seen[node] = np.frombuffer(grams, "<u8")
-                sides.setdefault(block, []).append(node)
+                seen.add(node)
+                sides.setdefault(block, []).append((node, n, value))
         left, right = sides.get(i, []), sides.get(j, [])
-        if not left or not right:
+        if not left or not right or len(seen) < 2:
             return []
-        links = spanning_links([seen[x] for x in left], [seen[x] for x in right], i == j, percent)
-        return [(left[a], right[b]) for a, b in links]
+        a, b = (np.array([x[1] for x in side]) for side in (left, right))
+        linked = judge([x[2] for x in left], [x[2] for x in right], a, b, percent)
+        return [(left[p][0], right[q][0]) for p, q in spanning(linked, i == j)]
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple[int, int]] = []
+
+        def links() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
+                if held and row[:4] != held[0][:4]:
                     out += joined(held)
                     held = []
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                yield links()
                 out = []
         if held and (out := joined(held)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield links()
 
-    return verified
+    return compared
+
+
+def _in_blocks(members: DataFrame, sets_in_block: int, grams_in_block: int) -> DataFrame:
+    """members (root, node, class, n) with a block, as many to a root as its largest class needs."""
+    count = F.greatest(F.ceil(F.count("*") / sets_in_block), F.ceil(F.sum("n") / grams_in_block)).cast("int")
+    needed = members.groupBy("root", "class").agg(count.alias("n_blocks")).groupBy("root").agg(F.max("n_blocks").alias("n_blocks"))
+    return members.join(needed, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+
+
+def _compared(members: DataFrame, judge, percent: int) -> DataFrame:
+    """Links (a, b) among members (_MEMBER and value). A task holds two blocks of a root,
+    of one size class and the next, in which all that may link to each other meet."""
+    scheme = F.explode(F.array(F.col("class"), F.col("class") - 1))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    rows = members.withColumn("scheme", scheme).withColumn("other", other).select("root", "scheme", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "value")
+    task = ["root", "scheme", "i", "j"]
+    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(_compare(judge, percent), "a long, b long")
 
 
 def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """key, doc_id, n_shingles, and root (one value a component) of each row."""
     text = places.keyed(docs)
-    rows = checkpointed(text.mapInArrow(_sketch(size, percent), "key long, doc_id long, n_shingles long, node long, other long, fragments array<long>"))
-    classes = rows.where("n_shingles > 0").groupBy("node", "other").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.first("fragments").alias("fragments"))
+    rows = checkpointed(text.mapInArrow(_sketch(size, percent), "key long, doc_id long, n_shingles long, node long, other long, class int, fragments array<long>, sketch binary"))
+    best = [F.first(c).alias(c) for c in ("class", "fragments", "sketch")]
+    classes = rows.where("n_shingles > 0").groupBy("node", "other").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"), *best)
     dealt = classes.select("node", F.explode("fragments").alias("fragment")).repartition("fragment")
     meeting = dealt.groupBy("fragment").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("fragment", "least")
-    blocks = components(dealt.join(meeting, "fragment").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    members = classes.select("node", "key", "n").join(blocks, "node")
-    count = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-    members = members.join(members.groupBy("root").agg(count.alias("n_blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    picked = text.join(members.select("key", "root", "node", "block", "n_blocks"), "key").dropDuplicates(["node"])
-    with_sets = picked.select("text", "root", "node", "block", "n_blocks").mapInArrow(_with_sets(size), "root long, node long, block int, n_blocks int, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    pairs = with_sets.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "grams")
-    links = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(percent), "a long, b long")
-    roots = components(links)
-    joined = rows.drop("fragments", "other").join(roots, "node", "left")
+    wide = components(dealt.join(meeting, "fragment").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    members = _in_blocks(classes.select("node", "n", "class", F.col("sketch").alias("value")).join(wide, "node"), BLOCK_SKETCHES, BLOCK_SKETCHES * BLOCK_GRAMS)
+    narrow = components(_compared(members.select(*_MEMBER, "value"), may_link, percent))
+    members = _in_blocks(classes.select("node", "key", "n", "class").join(narrow, "node"), BLOCK_SETS, BLOCK_GRAMS)
+    picked = text.join(members, "key").dropDuplicates(["node"])
+    with_sets = picked.select("text", *_MEMBER).mapInArrow(_with_sets(size), "root long, node long, class int, n long, block int, n_blocks int, value binary")
+    roots = components(_compared(with_sets, linked_sets, percent))
+    joined = rows.drop("fragments", "other", "class", "sketch").join(roots, "node", "left")
     return joined.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
 
 

@@ -65,6 +65,7 @@ def test_links_against_brute_force(spark, docs, hard):
 
 def test_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_SKETCHES", 5)
     check(near_copies(spark, seed=2))
 
 
@@ -84,6 +85,19 @@ def test_fragments_find_all_linked_pairs():
             assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
 
 
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(7)
+    for percent in (80, 90):
+        for _ in range(100):
+            n = int(rng.integers(1, 3000))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[int(len(a) * rng.random() * 0.15) :], rng.integers(0, 2**63, int(n * rng.random() * 0.1)).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= percent * (len(a) + len(b) - both)
+            x, y = jaccard.parity_sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+            assert jaccard.may_link([x], [y], np.array([len(a)]), np.array([len(b)]), percent)[0, 0] or not linked
+
+
 def test_overlaps():
     rng = np.random.default_rng(5)
     left, right = ([np.unique(rng.integers(0, 9000, rng.integers(1, 6000))).astype(np.uint64) for _ in range(k)] for k in (5, 7))
