@@ -33,8 +33,9 @@ DEALT = "part int, n int, rows binary"
 SHORT = np.uint64(16)
 BITS = 48
 
-#: Ranges of hashes for each shuffle partition; one range is in memory at a time.
-RANGES = 8
+#: Ranges of hashes for each shuffle partition; one range is in memory at a time, and
+#: each batch makes a row for each range.
+RANGES = 2
 
 
 def pos_of(at: Column | np.ndarray) -> Column | np.ndarray:
