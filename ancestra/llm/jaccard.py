@@ -43,7 +43,7 @@ EXTRA = 1
 #: Sets in a block at most, n-grams in it, and sketches in one.
 BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 21
-BLOCK_SKETCHES = 2048
+BLOCK_SKETCHES = 8192
 
 #: Bits of a sketch for each n-gram by which linked sets may differ, and at least.
 SKETCH_BITS, LEAST_BITS = 8, 512
