@@ -1,7 +1,8 @@
 """Secrets in texts: patterns, and values that are hard to guess.
 
 Three patterns find assignments, access keys and long hexadecimal runs. Beside
-them, the value after any word of a credential context is cut into words,
+them, the value after any word of a credential context, also one that is part of
+a name (DB_PASS, dbPassword), is cut into words,
 dates, repeats, keyboard walks and brute-force spans at the least total cost;
 the sum is the number of guesses, as a power of ten, that an attacker needs who
 tries easy segments first. A value beyond a threshold is a secret, too.
@@ -30,8 +31,13 @@ ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: The wider context: a credential word, a joint, and the value.
-CONTEXT = re.compile(r"""(?a:\b(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|secret|client)[_-]?(?:key|id|secret))["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20(?i:is|was)\x20|\x20)["']?([^\s"'<>,;]{8,}))""")
+#: The wider context: a credential word, a joint, and the value. A word starts after
+#: a non-letter or where camel case turns, so parts of names like DB_PASS count.
+_WORD = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|secret|client)[_-]?(?:key|id|secret))"
+_TURN = r"(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+WORD = re.compile(_WORD)
+CONTEXT = re.compile(rf"""{_TURN}(?={_WORD}["']?(?:\x20*(?P<explicit>:=|=>|[:=])\x20*|\x20(?i:is|was)\x20|\x20)["']?(?P<value>))""")
+VALUE = re.compile(r"""[^\s"'<>,;]+""")
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key", "client")
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -119,6 +125,25 @@ def guess_cost(value: str) -> float:
 Span = tuple[int, int, str]
 
 
+def _guessed(text: str, hard: float) -> Iterator[tuple[int, int]]:
+    """Bounds of hard values after credential words.
+
+    Contexts are looked for at every place, within values, too, but a run of
+    characters is judged once, from its first context on: what is left of an
+    easy value is no harder. After an explicit joint the cost alone decides;
+    after a space the value must have 8 characters of two kinds."""
+    judged = 0
+    for m in CONTEXT.finditer(text):
+        run = VALUE.match(text, m.start("value")) if m.start("value") >= judged else None
+        if not run:
+            continue
+        judged = run.end()
+        value = run[0].rstrip(".!?:)")
+        kinds = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
+        if (m["explicit"] or (len(value) >= 8 and kinds >= 2)) and not WORD.fullmatch(value) and guess_cost(value) >= hard:
+            yield run.start(), run.start() + len(value)
+
+
 def spans(text: str, hard: float = HARD) -> list[Span]:
     """All spans (start, end, kind), by start and then kind as listed."""
     out: list[Span] = []
@@ -129,11 +154,7 @@ def spans(text: str, hard: float = HARD) -> list[Span]:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(h in low for h in _HINTS):
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?:)")
-            kinds = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
-            if len(value) >= 8 and kinds >= 2 and guess_cost(value) >= hard:
-                out.append((m.start(1), m.start(1) + len(value), "guess"))
+        out += [(a, b, "guess") for a, b in _guessed(text, hard)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
