@@ -1,8 +1,8 @@
 """Personal data by patterns, and by contexts that the patterns' finds teach.
 
 Four patterns find email addresses, IP addresses, payment cards and phone
-numbers. They are the seeds of a bootstrap: the words before an identifier-like
-token are its lexical pattern, and patterns and tokens form a graph. A pattern
+numbers. They are the seeds of a bootstrap: the words before a find, or before an
+identifier-like token, are its lexical pattern, and patterns and tokens form a graph. A pattern
 scores by the scores of its distinct tokens, a token by its best pattern, in
 turn for some rounds; seeds keep score one. Tokens that follow a pattern of high
 score and are in no base span are found as well.
@@ -59,15 +59,16 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def _placed(found: str, gaps: str) -> Column:
-    """Matches with their bounds, and the text between each and the one before."""
+    """Matches with their bounds, and the end of the text before each."""
     f, g = F.col(found), F.col(gaps)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(g[i])
         end = start + F.length(f[i])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), f[i].alias("text"), F.right(g[i], F.lit(60)).alias("gap"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        before = F.right(F.concat(acc["tail"], g[i]), F.lit(60))
+        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), f[i].alias("text"), before.alias("gap"))
+        return F.struct(end.cast("long").alias("at"), F.right(F.concat(before, f[i]), F.lit(60)).alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     every = F.aggregate(F.sequence(F.lit(0), F.size(f) - 1), zero, step, lambda acc: acc["out"])
     return F.when(F.size(f) > 0, every).otherwise(F.array().cast(_SPANS))
@@ -107,26 +108,32 @@ def _with_spans(rows: DataFrame, name: str, pattern: str, needs: str | None, kee
 
 
 def _context(gap: Column) -> Column:
-    """The last two words before a token, digits alike; null if there is none next to it."""
+    """The last two words before a token, digits alike; null if there is none."""
     words = F.regexp_extract(gap, r"((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+)$", 1)
     plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(words, "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")))
     return F.when(F.length(plain) > 0, plain)
 
 
 def searched(docs: DataFrame) -> DataFrame:
-    """row, doc_id, the base spans by kind, and tokens with their contexts, of each row."""
+    """row, doc_id, the base spans by kind, and the finds (as seeds) and tokens with their contexts, of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for kind in KINDS:
         rows = _with_spans(rows, kind, PATTERNS[kind], _NEEDS.get(kind), partial(_valid, kind))
     rows = _with_spans(rows, "tokens", TOKEN, None, lambda x: F.length(x).between(SHORTEST, LONGEST))
 
+    rows = rows.withColumn("base", F.concat(*KINDS))
+
     def in_base(token: Column) -> Column:
-        hit = F.lit(False)
-        for kind in KINDS:
-            hit = hit | F.exists(kind, lambda s: (s["start"] < token["end"]) & (s["end"] > token["start"]))
-        return hit
+        return F.exists("base", lambda s: (s["start"] < token["end"]) & (s["end"] > token["start"]))
+
+    def within(span: Column) -> Column:
+        return F.exists("base", lambda s: ((s["start"] < span["start"]) & (s["end"] > span["start"])) | ((s["start"] == span["start"]) & (s["end"] > span["end"])))
+
+    def nodes(spans: Column, seed: bool) -> Column:
+        return F.transform(spans, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("token"), _context(t["gap"]).alias("pattern"), F.lit(seed).alias("seed")))
 
-    tokens = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("token"), _context(t["gap"]).alias("pattern"), in_base(t).alias("seed")))
+    # a piece of a find has a piece of it as its context, so only whole ones are nodes
+    tokens = F.concat(nodes(F.filter("base", lambda s: ~within(s)), True), nodes(F.filter("tokens", lambda t: ~in_base(t)), False))
     bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *bare, F.filter(tokens, lambda t: t["pattern"].isNotNull()).alias("tokens"))
 
