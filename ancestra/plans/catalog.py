@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -803,3 +804,45 @@ def learned_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     chance = _trained(spark, sf_dir, g.lineage).where("split = 'score'").select("source", "target", models.probability(F.col("logit")).alias("probability"))
     weighted = checkpointed(content.content_weights(g.lineage, content.tfidf(g.works), checkpointed(chance)))
     return walks.ranked(walks.flow(weighted, g.reached, g.years))
+
+
+SAMPLERS = {"uniform": False, "year_matched": True}
+
+
+def _contest(edges: DataFrame, works: DataFrame, split: str, per: int, matched: bool) -> DataFrame:
+    """source, cited, candidate, target, label: a split's positives (candidate 0) and their drawn rivals."""
+    positive = edges.where(F.col("split") == split)
+    drawn = temporal.negatives(positive, works, edges, per=per, year_matched=matched)
+    return positive.select("source", F.col("target").alias("cited"), F.lit(0).alias("candidate"), "target", F.lit(1).alias("label")).unionByName(drawn.withColumn("label", F.lit(0)))
+
+
+def _grid(spark: SparkSession, sf_dir: str, candidates: int = 100) -> DataFrame:
+    """Scores of the test split's pools by sampler and scorer; an undated work is of year -1."""
+    works, edges = _split(spark, sf_dir)
+    years = works.select("id", F.coalesce("year", F.lit(-1)).alias("year"))
+
+    def degree(hidden: list[str]) -> DataFrame:
+        return edges.where(~F.col("split").isin(hidden)).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("in_degree"))
+
+    pools = []
+    for sampler, matched in SAMPLERS.items():
+        fitted = models.logistic(checkpointed(models.design(_contest(edges, works, "val", 1, matched), years, degree(["val", "test"])).select("gap", "log_in", "label")))
+        facts = fitted.transform(models.design(_contest(edges, works, "test", candidates, matched), years, degree(["test"])))
+        scores = ((-F.col("gap")).alias("recency"), F.col("log_in").alias("in_degree"), vector_to_array("rawPrediction")[1].alias("logistic"))
+        pools.append(facts.select(F.lit(sampler).alias("sampler"), "source", "cited", "candidate", "target", "label", *scores))
+    pool = checkpointed(pools[0].unionByName(pools[1]))
+    learned = _trained(spark, sf_dir, pool.select("source", "target").distinct()).where("split = 'score'").select("source", "target", F.col("logit").alias("model"))
+    scored = pool.join(learned, ["source", "target"]).unpivot(["sampler", "source", "cited", "candidate", "target", "label"], ["recency", "in_degree", "logistic", "model"], "scorer", "score")
+    return checkpointed(scored.withColumn("id", F.concat_ws("|", "source", "cited", F.col("candidate").cast("string"))))
+
+
+@query()
+def evaluate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sampler and scorer on one cut, 100 candidates a positive."""
+    scored, by = _grid(spark, sf_dir).withColumn("owner", F.concat_ws("|", "source", "cited")), ["sampler", "scorer"]
+    ranks = checkpointed(metrics.positive_ranks(scored.where("label = 1").select(*by, "owner", "score"), scored.where("label = 0").select(*by, "owner", "score"), by))
+    parts = (metrics.average_precision(scored, by), metrics.mrr_hits(ranks, by), metrics.mean_std(ranks, by, ["rank"]))
+    out = metrics.roc_auc(scored, by)
+    for part in parts:
+        out = out.join(part, by, "left")
+    return out
