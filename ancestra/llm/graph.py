@@ -7,12 +7,33 @@ from pyspark.sql import functions as F
 
 from ancestra.llm.storage import checkpointed
 
+#: A node with more edges than this, and than 1 / HEAVY of all, is looked up by broadcast.
+EDGES, HEAVY = 4000, 1 << 16
+
 
 def _print(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges (a, b) with m, the least b of each a.
+
+    One value of a may have most edges. Those with more than their share, HEAVY at
+    most, are broadcast with their m; the rest is joined by shuffle."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    if total <= EDGES:
+        return edges.join(least.select("a", "m"), "a")
+    least = checkpointed(least)
+    heavy = least.where(F.col("n") > max(EDGES, total // HEAVY)).select("a", "m")
+    if heavy.isEmpty():
+        return edges.join(least.select("a", "m"), "a")
+    centres = F.broadcast(heavy.select(F.col("a").alias("centre"), F.col("m").alias("most")))
+    marked = edges.join(centres, F.col("a") == F.col("centre"), "left")
+    rest = marked.where("centre is null").select("a", "b").join(least.select("a", "m"), "a")
+    return rest.select("a", "b", "m").union(marked.where("centre is not null").select("a", "b", F.col("most").alias("m")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of all ends of edges (a, b).
 
@@ -20,14 +41,15 @@ def components(edges: DataFrame) -> DataFrame:
     its lesser ones; both in turn leave a star a component after a few rounds."""
     held = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = _print(held)
-    while True:
+    while before[0]:
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        held = checkpointed(small.distinct())
+        near = _with_least(both, 2 * before[0]).where("b > a")
+        large = checkpointed(near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        small = _with_least(large, before[0])
+        hung = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.where("b = m").select("a", "b"))
+        held = checkpointed(hung.distinct())
         now = _print(held)
         if now == before:
-            return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            break
         before = now
+    return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

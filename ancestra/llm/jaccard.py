@@ -1,32 +1,35 @@
 """N-gram Jaccard join by vertical partitioning.
 
-N-grams have one global order, that of their hashes. A set of n-grams is cut at
-fixed places of that order into fragments, so many that two sets that link
-differ in fewer of them: at least one fragment is then equal, and fragments are
-the keys by which candidates meet. How many fragments depends on the size alone;
-sizes are dealt into classes so that linked sets are in one class or two that
-adjoin, and each set is cut for its own class and the one below.
-
-Equal sets are one class from the start. Classes that share a fragment, directly
-or through others, form a component, which is dealt out in blocks by size class.
-First parity sketches are compared: each n-gram flips one bit of its set's, so two
-sketches differ in no more bits than the sets in n-grams, and a pair that differs
-in too many is none. Of what is left, the overlap of each pair of sets in two
-blocks is counted fragment by fragment of the global order and summed by pair.
-Only links that join something leave a task, so no list of all pairs is made.
+N-grams have one global order: rare ones by their hashes, then the common ones,
+rarest first. Common are those that make up 1 / COMMON of all n-grams of all
+documents at least, so they are COMMON at most, whatever the size of the corpus.
+Sets that link share an n-gram among the first few of each in that order, so
+these n-grams are the keys by which candidates meet, and a passage of many
+documents is a key only of those that consist of such passages.
+
+Sets that hold the same key are first compared with one of them, the head, and
+those that link are one component. Only keys whose sets are in several
+components after that are looked at again: parity sketches of their sets are
+compared in blocks (each n-gram flips one bit of its set's, so two sketches
+differ in no more bits than the sets in n-grams), and pairs of different
+components that may link are verified, in rounds that stop when no pair of
+different components is left unjudged.
+
+A pair is verified by vertical partitioning: both sets are cut at the same places
+of the order of hashes, the overlap of each fragment is counted on its own, and
+the counts are summed by pair.
 
 Defined cases: without words or text a document's set is empty and links with
 nothing; with fewer words than an n-gram has, the words are its only n-gram;
 rows are taken one by one, also those that share a doc_id; a null doc_id stays
 null and is never the id of a component with others; an empty table gives an
-empty result; other columns are ignored. Sets are told apart by 128-bit hashes,
-n-grams by 64 bits.
+empty result; other columns are ignored. Sets and n-grams are told apart by 64
+bits. The documents are read three times and must be the same rows each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +38,29 @@ from pyspark.sql import functions as F
 
 from ancestra.llm import places, scan
 from ancestra.llm.graph import components
-from ancestra.llm.storage import checkpointed
+from ancestra.llm.storage import checkpointed, free_name
 
-#: Fragments beyond those needed, so that an empty one seldom has to be a key.
-EXTRA = 1
+#: N-grams in the table of common ones at most, and in a count within a task.
+COMMON = 1 << 17
+COUNTED = 1 << 21
 
-#: Sets in a block at most, n-grams in it, and sketches in one.
-BLOCK_SETS = 512
-BLOCK_GRAMS = 1 << 21
-BLOCK_SKETCHES = 8192
+#: Sets that are compared with one head in one task, and heads with more at most.
+GROUP, HEADS = 512, 1 << 16
+
+#: Sketches in a block at most, and their bytes.
+BLOCK, BLOCK_BYTES = 4096, 1 << 26
 
 #: Bits of a sketch for each n-gram by which linked sets may differ, and at least.
 SKETCH_BITS, LEAST_BITS = 8, 512
 
-#: N-grams whose overlaps are counted at once.
-FRAGMENT = 4096
+#: N-grams of a set in one fragment, about.
+FRAGMENT = 1 << 15
+
+#: Documents up to whose number candidates are broadcast to the scan of texts (16 bytes each).
+FEW = 500_000
 
+#: Pairs of two components that a task names in the second round, and the factor by which they grow.
+PAIRS = 16
 
 def sets(texts: scan.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each document in ascending order, and their bounds."""
@@ -61,78 +71,54 @@ def sets(texts: scan.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((count > 0) & (count < size))
     hashes = np.concatenate([scan.run_hash(prefix, at, at + size, 1), scan.run_hash(prefix, found.bounds[short], found.bounds[short + 1], 1)])
     doc = np.concatenate([found.doc[at], short])
-    order = np.lexsort((hashes, doc))
+    low = np.uint64(int(texts.n).bit_length())
+    order = np.argsort(doc.astype(np.uint64) << (np.uint64(64) - low) | hashes >> low)
     hashes, doc = hashes[order], doc[order]
+    if ((hashes[1:] < hashes[:-1]) & (doc[1:] == doc[:-1])).any():  # the bits that were sorted by are equal
+        order = np.lexsort((hashes, doc))
+        hashes, doc = hashes[order], doc[order]
     new = np.ones(len(doc), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     hashes, doc = hashes[new], doc[new]
     return hashes, np.searchsorted(doc, np.arange(texts.n + 1))
 
 
-@lru_cache(maxsize=8)
-def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each class, and by how many n-grams linked sets of it differ at most.
+def differ(n: np.ndarray, percent: int) -> np.ndarray:
+    """By how many n-grams a set of n differs at most from one that it links with.
 
     Linked sets of x <= y n-grams have y <= 100 x / percent, and share at least
     percent / (100 + percent) of x + y."""
-    first = [1]
-    while first[-1] <= largest:
-        first.append(first[-1] * 100 // percent + 1)
-    first.append(first[-1] * 100 // percent + 1)
-    top = np.array(first[1:], np.int64) - 1
-    differ = (100 - percent) * (top + top * 100 // percent) // (100 + percent)
-    return np.array(first[:-1], np.int64), differ
+    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+
 
+def key_places(hashes: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place in hashes) of the n-grams by which sets that may link meet.
 
-def fragment_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of the fragments by which sets that may link meet."""
+    Linked sets share percent of either at least, so of each the first n-grams of
+    the order up to one more than the others. common: the common n-grams' hashes,
+    ascending, in the first row, and their places in the order in the second."""
     n = np.diff(bounds)
-    first, differ = size_classes(percent, max(1 << 16, int(n.max(initial=1))))
-    own = np.searchsorted(first, n, "right") - 1
-    prefix = scan.prefix_hash(hashes, 5)
-    docs_out, keys_out = [], []
-    for below in (0, 1):
-        scheme = own - below
-        use = (n > 0) & (scheme >= 0)
-        use[use] &= differ[scheme[use]] > 0
-        chosen = np.flatnonzero(use)
-        if not len(chosen):
-            continue
-        parts = differ[scheme[chosen]] + 1 + EXTRA
-        at = np.repeat(bounds[chosen], n[chosen]) + np.arange(n[chosen].sum()) - np.repeat(np.cumsum(n[chosen]) - n[chosen], n[chosen])
-        which = np.repeat(np.arange(len(chosen)), n[chosen])
-        part = ((hashes[at] >> np.uint64(32)) * parts[which].astype(np.uint64)) >> np.uint64(32)
-        starts = places.groups(which, part)
-        ends = np.append(starts[1:], len(at))
-        content = scan.run_hash(prefix, at[starts], at[ends - 1] + 1, 5)
-        owner, place = which[starts], part[starts]
-
-        def key(content: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
-            with np.errstate(over="ignore"):
-                return scan.mix(content + scheme[chosen][owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + place * np.uint64(0x165667B19E3779F9))
-
-        docs_out.append(chosen[owner])
-        keys_out.append(key(content, owner, place))
-        empty = parts - np.bincount(owner, minlength=len(chosen))
-        for i in np.flatnonzero(empty > EXTRA):
-            gone = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), place[owner == i])
-            docs_out.append(np.full(len(gone), chosen[i]))
-            keys_out.append(key(np.zeros(len(gone), np.uint64), np.full(len(gone), i), gone))
-    if not docs_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs_out), np.concatenate(keys_out)
-
-
-def sketch_bits(differ: np.ndarray) -> np.ndarray:
-    """Bits of the sketches of each size class, a power of two."""
-    return 2 ** np.ceil(np.log2(np.maximum(differ * SKETCH_BITS, LEAST_BITS))).astype(np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    rank = np.zeros(len(hashes), np.int64)
+    if common.shape[1] and len(hashes):
+        at = np.minimum(np.searchsorted(common[0], hashes), common.shape[1] - 1)
+        hit = common[0][at] == hashes
+        rank[hit] = 1 + common[1][at[hit]].astype(np.int64)
+    order = np.lexsort((hashes, rank, doc)) if rank.any() else np.arange(len(hashes))
+    first = n - -(-percent * n // 100) + 1
+    use = np.arange(len(hashes)) - bounds[:-1][doc] < first[doc]
+    return doc[use], order[use]
+
+
+def sketch_bits(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of the sketches of sets by size, powers of two."""
+    return 2 ** np.ceil(np.log2(np.maximum(differ(n, percent) * SKETCH_BITS, LEAST_BITS))).astype(np.int64)
 
 
 def parity_sketches(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> list[bytes]:
     """One bit flipped by each n-gram of a set."""
     n = np.diff(bounds)
-    first, differ = size_classes(percent, max(1 << 16, int(n.max(initial=1))))
-    bits = sketch_bits(differ)[np.maximum(np.searchsorted(first, n, "right") - 1, 0)]
+    bits = sketch_bits(n, percent)
     start = np.append(0, np.cumsum(bits))
     doc = np.repeat(np.arange(len(n)), n)
     place = start[doc] + (hashes & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
@@ -141,199 +127,360 @@ def parity_sketches(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> lis
     return [raw[a:b] for a, b in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist())]
 
 
-def _sketch(size: int, percent: int):
-    names = ["key", "doc_id", "n_shingles", "node", "other", "class", "fragments", "sketch"]
+def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    return scan.run_hash(scan.prefix_hash(hashes, 6), bounds[:-1], bounds[1:], 6).view(np.int64)
+
+
+_SEEN = "key long, doc_id long, n_shingles long, node long, gram long, times long"
+
+
+def _surveyed(size: int):
+    """A row for each document, and rows (gram, times) of n-grams that are many in a part."""
+    names = [f.split()[0] for f in _SEEN.split(", ")]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams, times = np.unique(np.concatenate(held), return_counts=True)
+        many = times >= max(2, times.sum() // (2 * COMMON))
+        none = pa.nulls(int(many.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(grams[many].view(np.int64)), pa.array(times[many])], names)
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for texts in scan.blocks(batch.column(2)):
                 hashes, bounds = sets(texts, size)
-                n = np.diff(bounds)
-                prefix = [scan.prefix_hash(x, s) for x, s in ((hashes, 6), (scan.mix(hashes), 7))]
-                node, other = (scan.run_hash(p, bounds[:-1], bounds[1:], s).view(np.int64) for p, s in zip(prefix, (6, 7)))
-                doc, key = fragment_keys(hashes, bounds, percent)
-                order = np.argsort(doc, kind="stable")
-                cuts = np.searchsorted(doc[order], np.arange(texts.n + 1))
-                fragments = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key[order].view(np.int64)))
-                first, _ = size_classes(percent, max(1 << 16, int(n.max(initial=1))))
-                own = np.searchsorted(first, n, "right") - 1
                 columns = [batch.column(k).slice(texts.first, texts.n) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(node), pa.array(other), pa.array(own.astype(np.int32)), fragments, pa.array(parity_sketches(hashes, bounds, percent), pa.binary())], names)
+                none = pa.nulls(texts.n, pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(_nodes(hashes, bounds)), none, none], names)
+                held.append(hashes)
+                if sum(map(len, held)) >= COUNTED:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
+
+    return surveyed
+
+
+def common_grams(seen: DataFrame) -> np.ndarray:
+    """Hashes of the common n-grams, ascending, and their places in the order: COMMON columns at most."""
+    total = seen.agg(F.sum("n_shingles")).first()[0] or 0
+    times = seen.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
+    rows = times.where(F.col("times") >= max(4, -(-total // COMMON))).collect()
+    grams = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.lexsort((grams, np.array([r[1] for r in rows], np.int64)))
+    place = np.empty(len(rows), np.uint64)
+    place[order] = np.arange(len(rows))
+    ascending = np.argsort(grams)
+    return np.stack([grams[ascending], place[ascending]])
+
+
+_KEYS = "gram long, node long, n long, head long, head_n long, many boolean"
 
-    return sketched
 
+def _keys(size: int, percent: int, common: np.ndarray):
+    """Of the sets of a batch that share a key, the least is its head in this batch; only
+    heads are dealt by key (many: whether others follow)."""
+    names = [f.split()[0] for f in _KEYS.split(", ")]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for texts in scan.blocks(batch.column(2)):
+                hashes, bounds = sets(texts, size)
+                n, node = np.diff(bounds), _nodes(hashes, bounds)
+                doc, at = key_places(hashes, bounds, percent, common)
+                parts.append((hashes[at] >> places.SHORT, node[doc], n[doc]))
+            if not parts:
+                continue
+            gram, node, n = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((node, gram))
+            gram, node, n = gram[order], node[order], n[order]
+            first = places.groups(gram, node)
+            gram, node, n = gram[first], node[first], n[first]
+            starts = places.groups(gram)
+            count = np.diff(np.append(starts, len(gram)))
+            columns = [gram.view(np.int64), node, n, np.repeat(node[starts], count), np.repeat(n[starts], count), np.repeat(count > 1, count)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
+
+    return keys
+
+
+_MEETING = "gram long, node long, n long, head long, head_n long"
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, node and head. Followers stay as they are; of the heads
+    of one key the least is the head of all, and alone it is left out unless it has followers."""
+    names = [f.split()[0] for f in _MEETING.split(", ")]
+
+    def met(columns: list[np.ndarray]) -> pa.RecordBatch:
+        gram, node, n, head, head_n, many = columns
+        follows = node != head
+        lead = np.flatnonzero(~follows)
+        starts = places.groups(gram[lead])
+        count = np.diff(np.append(starts, len(lead)))
+        if len(starts):
+            several = np.maximum.reduceat(node[lead], starts) != np.minimum.reduceat(node[lead], starts)
+            several |= np.logical_or.reduceat(many[lead], starts)
+            top = np.repeat(lead[starts], count)
+            use = np.repeat(several, count)
+            head[lead], head_n[lead] = node[top], n[top]
+            follows[lead[use]] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[follows]) for x in (gram, node, n, head, head_n)], names)
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).copy() for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        held = [c[cut:] for c in columns]
+        if cut:
+            yield met([c[:cut] for c in columns])
+    if held is not None:
+        yield met(held)
 
-_MEMBER = ["root", "node", "class", "n", "block", "n_blocks"]
 
+def meeting(text: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+    """(gram, node, n, head, head_n) of sets that share a key with another one."""
+    keys = text.mapInArrow(_keys(size, percent, common), _KEYS)
+    follower = F.when(F.col("node") == F.col("head"), F.xxhash64("gram")).otherwise(F.xxhash64("gram", "node"))
+    return keys.repartition(follower).sortWithinPartitions("gram", "node", "head").mapInArrow(_meeting, _MEETING)
+
+
+_SETS = "node long, n long, sketch binary, value binary"
+
+
+def _with_sets(size: int, percent: int):
+    names = [f.split()[0] for f in _SETS.split(", ")]
 
-def _with_sets(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in scan.blocks(batch.column(0)):
                 hashes, bounds = sets(texts, size)
                 raw = hashes.astype("<u8").tobytes()
                 values = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                columns = [batch.column(k).slice(texts.first, texts.n) for k in range(1, 7)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], [*_MEMBER, "value"])
+                columns = [pa.array(_nodes(hashes, bounds)), pa.array(np.diff(bounds)), pa.array(parity_sketches(hashes, bounds, percent), pa.binary()), pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return made
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set.
-
-    The n-grams that both sides hold are cut into fragments of their order; each
-    fragment's part of the overlaps is a product of two 0-1 matrices."""
-    out = np.zeros((len(left), len(right)), np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    common = np.intersect1d(a, b)
-    if not len(common):
-        return out
-
-    def columns(values: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        hit = common[at] == values
-        order = np.argsort(at[hit], kind="stable")
-        return at[hit][order], row[hit][order]
-
-    (at_a, row_a), (at_b, row_b) = columns(a, left), columns(b, right)
-    for low in range(0, len(common), FRAGMENT):
-        width = min(FRAGMENT, len(common) - low)
-        sides = []
-        for at, row, n in ((at_a, row_a, len(left)), (at_b, row_b, len(right))):
-            lo, hi = np.searchsorted(at, (low, low + width))
-            side = np.zeros((n, width), np.float32)
-            side[row[lo:hi], at[lo:hi] - low] = 1
-            sides.append(side)
-        out += (sides[0] @ sides[1].T).astype(np.int64)
-    return out
-
-
-def spanning(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Of a matrix of links those that join something new; same: rows are columns."""
-    if same:
-        np.fill_diagonal(linked, False)
-    out: list[tuple[int, int]] = []
-    done_left, done_right = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool)
-    for start in np.flatnonzero(linked.any(1)):
-        if done_left[start]:
+def _folded(raw: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint64)
+    while len(x) * 8 > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def may_link(left: list[bytes], right: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left sketch of a set of size a with the right ones of sizes b that may link with it.
+
+    Sketches are compared at the width of the shorter one, only with those of sizes
+    that may link at all; widths grow with sizes, so these stand together."""
+    order = np.argsort(b, kind="stable")
+    sizes, width = b[order], np.array([len(right[k]) for k in order])
+    tables: dict[int, tuple[int, np.ndarray]] = {}
+    for k, (raw, n) in enumerate(zip(left, a)):
+        lo, hi = np.searchsorted(sizes, [-(-percent * n // 100), n * 100 // percent + 1])
+        if lo == hi:
             continue
-        queue = [(True, int(start))]
-        done_left[start] = True
-        if same:
-            done_right[start] = True
-        while queue:
-            on_left, i = queue.pop()
-            new = np.flatnonzero((linked[i] & ~done_right) if on_left else (linked[:, i] & ~done_left))
-            (done_right if on_left else done_left)[new] = True
-            if same:
-                done_left[new] = done_right[new] = True
-            for j in new.tolist():
-                out.append((i, j) if on_left else (j, i))
-                queue.append((same or not on_left, j))
-    return out
-
-
-def linked_sets(left: list[bytes], right: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets (as bytes, of sizes a and b) link."""
-    shared = overlaps([np.frombuffer(x, "<u8") for x in left], [np.frombuffer(x, "<u8") for x in right])
-    return 100 * shared >= percent * (a[:, None] + b[None, :] - shared)
-
-
-def may_link(left: list[bytes], right: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of sizes a and b may link by their sketches."""
-    width = min(map(len, (*left, *right)))
-
-    def folded(raw: bytes) -> np.ndarray:
-        x = np.frombuffer(raw, np.uint64)
-        while len(x) * 8 > width:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        return x
-
-    x, y = np.stack([folded(r) for r in left]), np.stack([folded(r) for r in right])
-    out = np.zeros((len(x), len(y)), bool)
-    for i in range(len(x)):
-        total = a[i] + b
+        w = min(len(raw), int(width[lo]))
+        if w not in tables:
+            first, last = np.searchsorted(width, [w, 8 * w])
+            tables[w] = int(first), np.stack([_folded(right[q], w) for q in order[first:last]])
+        first, table = tables[w]
+        total = n + sizes[lo:hi]
         least = -(-percent * total // (100 + percent))
-        near = np.bitwise_count(x[i] ^ y).sum(1, dtype=np.int64) <= total - 2 * least
-        out[i] = near & (100 * np.minimum(a[i], b) >= percent * np.maximum(a[i], b))
-    return out
-
-
-def _compare(judge, percent: int):
-    """Rows come sorted by task; each task's two blocks are compared together."""
-
-    def joined(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][2:4]
-        seen: set[int] = set()
-        sides: dict[int, list[tuple]] = {}
-        for _, _, _, _, block, node, n, value in rows:
-            if node not in seen:
-                seen.add(node)
-                sides.setdefault(block, []).append((node, n, value))
-        left, right = sides.get(i, []), sides.get(j, [])
-        if not left or not right or len(seen) < 2:
-            return []
-        a, b = (np.array([x[1] for x in side]) for side in (left, right))
-        linked = judge([x[2] for x in left], [x[2] for x in right], a, b, percent)
-        return [(left[p][0], right[q][0]) for p, q in spanning(linked, i == j)]
+        near = np.bitwise_count(_folded(raw, w) ^ table[lo - first : hi - first]).sum(1, dtype=np.int64) <= total - 2 * least
+        yield k, order[lo:hi][near]
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple[int, int]] = []
 
-        def links() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _by_task(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows that agree in their first columns, which come sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:width] != held[0][:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:4] != held[0][:4]:
-                    out += joined(held)
-                    held = []
-                held.append(row)
+
+_PAIR = "a long, a_n long, b long, b_n long"
+_NAMES = [f.split()[0] for f in _PAIR.split(", ")]
+
+
+def _pairs(rows: list[tuple], extra: str = "") -> pa.RecordBatch:
+    names = _NAMES + ([extra] if extra else [])
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
+
+
+def _sketched(percent: int):
+    """Which members of a task may link with its head."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_task(batches, 2):
+            heads = [r for r in rows if r[2] == r[0]]
+            members = list({r[2]: r for r in rows if r[2] != r[0]}.values())
+            if heads and members:
+                found = may_link([heads[0][4]], [m[4] for m in members], np.array([heads[0][3]]), np.array([m[3] for m in members]), percent)
+                yield _pairs([(rows[0][0], heads[0][3], *members[q][2:4]) for _, near in found for q in near])
+
+    return judged
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set in fragments of the order of hashes, as many as its head is long."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = []
+        for head, salt, node, n, value, head_n in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = -(-head_n // FRAGMENT)
+            if parts == 1:
+                out.append((head, salt, 0, node, n, value))
+                continue
+            part = ((np.frombuffer(value, "<u8") >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            out += [(head, salt, k, node, n, value[8 * x : 8 * y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["a", "salt", "fragment", "node", "n", "value"])
+
+
+def partial_overlaps(head: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each member shares with the head; all are sorted."""
+    size = np.array([len(m) for m in members], np.int64)
+    if not len(head) or not size.sum():
+        return np.zeros(len(members), np.int64)
+    values = np.concatenate(members)
+    hit = head[np.minimum(np.searchsorted(head, values), len(head) - 1)] == values
+    return np.bincount(np.repeat(np.arange(len(members)), size)[hit], minlength=len(members))
+
+
+def _overlapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlaps within one fragment of the members of a task with its head."""
+    for rows in _by_task(batches, 3):
+        heads = [r for r in rows if r[3] == r[0]]
+        members = list({r[3]: r for r in rows if r[3] != r[0]}.values())
+        if heads and members:
+            shared = partial_overlaps(np.frombuffer(heads[0][5], "<u8"), [np.frombuffer(m[5], "<u8") for m in members])
+            yield _pairs([(rows[0][0], heads[0][4], m[3], m[4], x) for m, x in zip(members, shared.tolist())], "shared")
+
+
+def _beside(pairs: DataFrame, material: DataFrame, column: str) -> DataFrame:
+    """(a, salt, node, n, column, a_n): each b with the sets that have the same a, and a once
+    among every few of them. Heads with many partners are HEADS at most, so they are broadcast."""
+    total = pairs.count()
+    each = max(GROUP, -(-total // HEADS))
+    counts = pairs.groupBy("a").agg(F.count("*").alias("count"), F.first("a_n").alias("a_n"))
+    counts = counts.withColumn("salts", F.ceil(F.col("count") / each).cast("int"))
+    large = F.broadcast(counts.where("salts > 1").select("a", "salts"))
+    what = material.select("node", "n", column)
+    members = pairs.select("a", "a_n", F.col("b").alias("node")).join(what, "node").join(large, "a", "left")
+    salt = F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    heads = counts.join(what, F.col("a") == F.col("node")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    order = ["a", "salt", "node", "n", column, "a_n"]
+    return members.select("a", salt, "node", "n", column, "a_n").unionByName(heads.select(*order))
+
+
+def verified(pairs: DataFrame, material: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of those given that link."""
+    pairs = checkpointed(pairs)
+    near = _beside(pairs, material, "sketch").drop("a_n").repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_sketched(percent), _PAIR)
+    task = ["a", "salt", "fragment"]
+    cut = _beside(checkpointed(near), material, "value").mapInArrow(_cut, "a long, salt long, fragment long, node long, n long, value binary")
+    parts = cut.repartition(*task).sortWithinPartitions(*task).mapInArrow(_overlapped, f"{_PAIR}, shared long")
+    summed = parts.groupBy(*_NAMES).agg(F.sum("shared").alias("shared"))
+    return summed.where(100 * F.col("shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select("a", "b")
+
+
+def _across(percent: int, most: int):
+    """Of the sets of a task's two blocks pairs of different components that may link, and
+    whether there are more of the same two components than most."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_task(batches, 3):
+            i, j = rows[0][1:3]
+            sides: dict[int, dict[int, tuple]] = {}
+            for row in rows:
+                sides.setdefault(row[3], {})[row[4]] = row[4:]
+            left, right = (list(sides.get(k, {}).values()) for k in (i, j))
+            if not left or not right:
+                continue
+            a, b, root = np.array([x[1] for x in left]), np.array([x[1] for x in right]), np.array([x[2] for x in right])
+            named: dict[tuple[int, int], int] = {}
+            out = []
+            for k, near in may_link([x[3] for x in left], [x[3] for x in right], a, b, percent):
+                near = near[(root[near] != left[k][2]) & ((i != j) | (near > k))]
+                for q in near.tolist():
+                    both = (left[k][2], right[q][2])
+                    both = both if both[0] < both[1] else both[::-1]
+                    times = named[both] = named.get(both, 0) + 1
+                    if times <= most:
+                        x, y = sorted((left[k][:2], right[q][:2]))
+                        out.append((*x, *y, 0))
             if out:
-                yield links()
-                out = []
-        if held and (out := joined(held)):
-            yield links()
+                more = int(any(times > most for times in named.values()))
+                yield _pairs([(*x[:4], more) for x in out], "more")
 
     return compared
 
 
-def _in_blocks(members: DataFrame, sets_in_block: int, grams_in_block: int) -> DataFrame:
-    """members (root, node, class, n) with a block, as many to a root as its largest class needs."""
-    count = F.greatest(F.ceil(F.count("*") / sets_in_block), F.ceil(F.sum("n") / grams_in_block)).cast("int")
-    needed = members.groupBy("root", "class").agg(count.alias("n_blocks")).groupBy("root").agg(F.max("n_blocks").alias("n_blocks"))
-    return members.join(needed, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+def open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gram, node, root, count) of keys whose sets are in several components; of keys with
+    the same sets one."""
+    rooted = met.select("gram", "node").join(roots, "node", "left").select("gram", "node", F.coalesce("root", "node").alias("root"))
+    rooted = checkpointed(rooted)
+    keys = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"), F.bit_xor(F.xxhash64("node")).alias("print"))
+    merged = checkpointed(keys.where("low <> high").groupBy("count", "print", "low", "high").agg(F.min("gram").alias("gram")).select("gram", "count"))
+    return rooted.join(merged, "gram")
 
 
-def _compared(members: DataFrame, judge, percent: int) -> DataFrame:
-    """Links (a, b) among members (_MEMBER and value). A task holds two blocks of a root,
-    of one size class and the next, in which all that may link to each other meet."""
-    scheme = F.explode(F.array(F.col("class"), F.col("class") - 1))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    rows = members.withColumn("scheme", scheme).withColumn("other", other).select("root", "scheme", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "value")
-    task = ["root", "scheme", "i", "j"]
-    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(_compare(judge, percent), "a long, b long")
+def _left_over(met: DataFrame, roots: DataFrame, material: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs of different components that meet at a key and may link, and whether there are more."""
+    groups = open_groups(met, roots).join(material.select("node", "n", "sketch"), "node")
+    size = F.greatest(F.lit(LEAST_BITS / 8), F.col("n") * (SKETCH_BITS / 8))
+    weights = groups.groupBy("gram").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    large = checkpointed(weights.where("n_blocks > 1"))
+    blocks = F.coalesce("n_blocks", F.lit(1))
+    dealt = groups.join(large, "gram", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = dealt.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "sketch")
+    task = ["gram", "i", "j"]
+    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(_across(percent, most), f"{_PAIR}, more long")
 
 
 def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """key, doc_id, n_shingles, and root (one value a component) of each row."""
     text = places.keyed(docs)
-    rows = checkpointed(text.mapInArrow(_sketch(size, percent), "key long, doc_id long, n_shingles long, node long, other long, class int, fragments array<long>, sketch binary"))
-    best = [F.first(c).alias(c) for c in ("class", "fragments", "sketch")]
-    classes = rows.where("n_shingles > 0").groupBy("node", "other").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"), *best)
-    dealt = classes.select("node", F.explode("fragments").alias("fragment")).repartition("fragment")
-    meeting = dealt.groupBy("fragment").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("fragment", "least")
-    wide = components(dealt.join(meeting, "fragment").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    members = _in_blocks(classes.select("node", "n", "class", F.col("sketch").alias("value")).join(wide, "node"), BLOCK_SKETCHES, BLOCK_SKETCHES * BLOCK_GRAMS)
-    narrow = components(_compared(members.select(*_MEMBER, "value"), may_link, percent))
-    members = _in_blocks(classes.select("node", "key", "n", "class").join(narrow, "node"), BLOCK_SETS, BLOCK_GRAMS)
-    picked = text.join(members, "key").dropDuplicates(["node"])
-    with_sets = picked.select("text", *_MEMBER).mapInArrow(_with_sets(size), "root long, node long, class int, n long, block int, n_blocks int, value binary")
-    roots = components(_compared(with_sets, linked_sets, percent))
-    joined = rows.drop("fragments", "other", "class", "sketch").join(roots, "node", "left")
+    seen = checkpointed(text.mapInArrow(_surveyed(size), _SEEN))
+    rows = seen.where("gram is null").drop("gram", "times")
+    met = checkpointed(meeting(text, size, percent, common_grams(seen)))
+    wanted = met.select("node").distinct().join(rows.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")), "node")
+    wanted = checkpointed(wanted.select("key"))
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    material = checkpointed(text.join(wanted, "key").select("text").mapInArrow(_with_sets(size, percent), _SETS))
+    near_size = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
+    stars = met.where(F.col("node") != F.col("head")).where(near_size)
+    links = checkpointed(verified(stars.select(F.col("head").alias("a"), F.col("head_n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct(), material, percent))
+    roots, most = components(links), 1
+    while True:
+        found = checkpointed(_left_over(met, roots, material, percent, most))
+        if found.isEmpty():
+            break
+        links = links.union(checkpointed(verified(found.select(*_NAMES).distinct(), material, percent)))
+        roots = components(links)
+        if found.where("more > 0").isEmpty():
+            break
+        most *= PAIRS
+    joined = rows.join(roots, "node", "left")
     return joined.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
 
 
@@ -349,10 +496,15 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates, with all their columns: of each component the
-    row with the least doc_id (of equal ones any) stays, and all rows without words."""
+    row with the least doc_id stays, and all rows without words. Rows that are equal
+    in doc_id and text are one document, of which the least in all columns stays."""
     rows = checkpointed(linked_rows(docs, size, percent))
     first = rows.where("root is not null").groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
-    stay = first.select(F.col("key").alias("__key")).union(rows.where("root is null").select("key")).distinct()
-    marked = docs.withColumn("__own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    found = marked.join(stay, F.col("__own") == F.col("__key"), "left_semi")
-    return found.dropDuplicates(["__own"]).select(*docs.columns)
+    own, wanted = free_name(docs, "own"), free_name(docs, "wanted")
+    stay = first.select(F.col("key").alias(wanted)).union(rows.where("root is null").select("key")).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    found = marked.join(stay, F.col(own) == F.col(wanted), "left_semi")
+    if not rows.groupBy("key").count().where("count > 1").isEmpty():
+        others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+        found = found.groupBy(own).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*others)) if others else F.lit(0)).alias(wanted)).select(f"{wanted}.*")
+    return found.select(*docs.columns)

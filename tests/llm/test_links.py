@@ -1,7 +1,7 @@
 import numpy as np
 
 from ancestra.llm import graph, jaccard
-from tests.llm.conftest import WORD
+from tests.llm.conftest import PROSE, WORD
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -13,8 +13,8 @@ def shingles(text, size):
     return frozenset({tuple(w)} if len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
 
 
-def brute(rows, size, percent):
-    """Component of each row as the set of rows in it."""
+def groups_of(rows, size, percent):
+    """For each row the least row of its component."""
     sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -28,9 +28,21 @@ def brute(rows, size, percent):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))], sets
+
+
+def components_of(rows, size, percent):
+    """Rows with words, by component."""
+    root, sets = groups_of(rows, size, percent)
+    return [[rows[j] for j in range(len(rows)) if root[j] == r] for r in sorted({root[i] for i in range(len(rows)) if sets[i]})]
+
+
+def brute(rows, size, percent):
+    """doc_id, set size and component of each row."""
+    root, sets = groups_of(rows, size, percent)
     out = []
     for i, (d, _) in enumerate(rows):
-        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None]
         out.append((str(d), len(sets[i]), str(min(ids) if ids and sets[i] else d)))
     return sorted(out)
 
@@ -64,13 +76,26 @@ def test_links_against_brute_force(spark, docs, hard):
 
 
 def test_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
-    monkeypatch.setattr(jaccard, "BLOCK_SKETCHES", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "GROUP", 7)
     check(near_copies(spark, seed=2))
 
 
-def test_fragments_find_all_linked_pairs():
-    """Two sets that link share a key, also where sets are small and fragments empty."""
+def test_fragments_are_summed_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FRAGMENT", 1 << 4)
+    monkeypatch.setattr(jaccard, "COMMON", 8)
+    check(near_copies(spark, seed=3), 5, 80)
+
+
+def test_a_passage_in_all_documents(spark):
+    """Documents that share a passage but no more are no links; copies of it are."""
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(0, 50))))) for k in range(150)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+
+
+def test_linked_sets_share_a_key():
     rng = np.random.default_rng(4)
     for percent in (80, 90):
         for _ in range(400):
@@ -79,29 +104,33 @@ def test_fragments_find_all_linked_pairs():
             b = a[: int(np.ceil(n * percent / 100))] if rng.random() < 0.5 else np.concatenate([a[: n - n // 20], rng.integers(0, 2**63, n // 20).astype(np.uint64)])
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
-            if 100 * both < percent * (len(a) + len(b) - both) or np.array_equal(a, b):
+            if 100 * both < percent * (len(a) + len(b) - both):
                 continue
-            doc, key = jaccard.fragment_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
-            assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
+            hashes = np.concatenate([a, b])
+            common = np.unique(rng.choice(hashes, n // 2))
+            doc, at = jaccard.key_places(hashes, np.array([0, len(a), len(a) + len(b)]), percent, np.stack([common, rng.permutation(len(common)).astype(np.uint64)]))
+            assert set(hashes[at[doc == 0]].tolist()) & set(hashes[at[doc == 1]].tolist())
 
 
 def test_sketches_rule_out_no_link():
     rng = np.random.default_rng(7)
     for percent in (80, 90):
-        for _ in range(100):
-            n = int(rng.integers(1, 3000))
-            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            b = np.unique(np.concatenate([a[int(len(a) * rng.random() * 0.15) :], rng.integers(0, 2**63, int(n * rng.random() * 0.1)).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            linked = 100 * both >= percent * (len(a) + len(b) - both)
-            x, y = jaccard.parity_sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
-            assert jaccard.may_link([x], [y], np.array([len(a)]), np.array([len(b)]), percent)[0, 0] or not linked
-
-
-def test_overlaps():
+        sets = [np.unique(rng.integers(0, 2**63, int(rng.integers(1, 3000))).astype(np.uint64)) for _ in range(40)]
+        sets += [np.unique(np.concatenate([a[int(len(a) * rng.random() * 0.15) :], rng.integers(0, 2**63, int(len(a) * rng.random() * 0.1)).astype(np.uint64)])) for a in sets]
+        n = np.array([len(x) for x in sets])
+        sketches = jaccard.parity_sketches(np.concatenate(sets), np.append(0, np.cumsum(n)), percent)
+        found = {(k, q) for k, near in jaccard.may_link(sketches, sketches, n, n, percent) for q in near.tolist()}
+        for k, a in enumerate(sets):
+            for q, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                assert (k, q) in found or 100 * both < percent * (len(a) + len(b) - both)
+        assert len(found) < 200
+
+
+def test_partial_overlaps():
     rng = np.random.default_rng(5)
-    left, right = ([np.unique(rng.integers(0, 9000, rng.integers(1, 6000))).astype(np.uint64) for _ in range(k)] for k in (5, 7))
-    assert jaccard.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    head, *members = (np.unique(rng.integers(0, 9000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(8))
+    assert jaccard.partial_overlaps(head, members).tolist() == [len(np.intersect1d(head, b)) for b in members]
 
 
 def test_one_of_each(docs, hard):
@@ -110,16 +139,27 @@ def test_one_of_each(docs, hard):
         assert kept.columns == table.columns
         rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
         wordless = {r for r in rows if not shingles(r[1], 5)}
-        groups = {c for d, n, c in brute(rows, 5, 80) if n}
+        groups = components_of(rows, 5, 80)
         got = [(r.doc_id, r.text) for r in kept.collect()]
-        assert len([r for r in got if shingles(r[1], 5)]) >= len(groups)
+        worded = [r for r in got if shingles(r[1], 5)]
+        assert len(worded) == len(groups)
+        for group in groups:
+            ids = [d for d, _ in group if d is not None]
+            assert [r for r in worded if r in group and (not ids or r[0] == min(ids))] and len([r for r in worded if r in group]) == 1
         assert {r for r in got if not shingles(r[1], 5)} == wordless
 
 
-def test_components(spark):
+def test_one_of_each_keeps_clashing_columns(spark):
+    rows = [(1, PROSE, 7, "x"), (1, PROSE, 7, "a"), (2, PROSE, 8, "b"), (3, "other " * 9, 9, None)]
+    for _ in range(2):
+        kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __own long, __wanted string"))
+        assert sorted(map(tuple, kept.collect())) == [(1, PROSE, 7, "a"), (3, "other " * 9, 9, None)]
+        rows.reverse()
+
+
+def test_components(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 6000 + i) for i in range(80)] + [(6100, 6050), (9000, 6010)]
     label = {x: x for e in edges for x in e}
     changed = True
     while changed:
@@ -129,7 +169,11 @@ def test_components(spark):
             changed |= label[a] != low or label[b] != low
             label[a] = label[b] = low
     alone = {x for x in label if all(a == b for a, b in edges if x in (a, b))}
-    assert got == {x: r for x, r in label.items() if x not in alone}
+    for most in (graph.EDGES, 10):
+        monkeypatch.setattr(graph, "EDGES", most)
+        got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(got) == len({r.node for r in got})
+        assert {r.node: r.root for r in got} == {x: r for x, r in label.items() if x not in alone}
 
 
 def test_empty(empty):
