@@ -5,33 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ancestra.llm.joins import looked_up
 from ancestra.llm.storage import checkpointed
 
-#: A node with more edges than this, and than 1 / HEAVY of all, is looked up by broadcast.
-EDGES, HEAVY = 4000, 1 << 16
-
-
 def _print(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges (a, b) with m, the least b of each a.
-
-    One value of a may have most edges. Those with more than their share, HEAVY at
-    most, are broadcast with their m; the rest is joined by shuffle."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    if total <= EDGES:
-        return edges.join(least.select("a", "m"), "a")
-    least = checkpointed(least)
-    heavy = least.where(F.col("n") > max(EDGES, total // HEAVY)).select("a", "m")
-    if heavy.isEmpty():
-        return edges.join(least.select("a", "m"), "a")
-    centres = F.broadcast(heavy.select(F.col("a").alias("centre"), F.col("m").alias("most")))
-    marked = edges.join(centres, F.col("a") == F.col("centre"), "left")
-    rest = marked.where("centre is null").select("a", "b").join(least.select("a", "m"), "a")
-    return rest.select("a", "b", "m").union(marked.where("centre is not null").select("a", "b", F.col("most").alias("m")))
+    """edges (a, b) with m, the least b of each a."""
+    return looked_up(edges, edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "a", total)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,0 +1,32 @@
+"""Joins in which one key may have most of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ancestra.llm.storage import checkpointed, free_name
+
+#: A key with more rows than this, and than 1 / HEAVY of all, is looked up by broadcast.
+ROWS, HEAVY = 4000, 1 << 16
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of table, which has one row a key and says in n how many
+    of all total rows have it; those without one are left out.
+
+    Keys with more than their share are HEAVY at most, so they are broadcast and their
+    rows stay where they are; the rest is joined by shuffle."""
+    values = [c for c in table.columns if c not in (key, "n")]
+    if total <= ROWS:
+        return rows.join(table.select(key, *values), key)
+    table = checkpointed(table)
+    heavy = table.where(F.col("n") > max(ROWS, total // HEAVY))
+    if heavy.isEmpty():
+        return rows.join(table.select(key, *values), key)
+    centre = free_name(rows, "centre")
+    centres = F.broadcast(heavy.select(F.col(key).alias(centre), F.struct(*values).alias(f"{centre}s")))
+    marked = rows.join(centres, F.col(key) == F.col(centre), "left")
+    rest = marked.where(F.col(centre).isNull()).drop(centre, f"{centre}s").join(table.select(key, *values), key)
+    many = marked.where(F.col(centre).isNotNull()).select(*rows.columns, f"{centre}s.*")
+    return rest.select(*rows.columns, *values).union(many)

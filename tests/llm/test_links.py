@@ -1,6 +1,6 @@
 import numpy as np
 
-from ancestra.llm import graph, jaccard
+from ancestra.llm import graph, jaccard, joins
 from tests.llm.conftest import PROSE, WORD
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -169,8 +169,8 @@ def test_components(spark, monkeypatch):
             changed |= label[a] != low or label[b] != low
             label[a] = label[b] = low
     alone = {x for x in label if all(a == b for a, b in edges if x in (a, b))}
-    for most in (graph.EDGES, 10):
-        monkeypatch.setattr(graph, "EDGES", most)
+    for most in (joins.ROWS, 10):
+        monkeypatch.setattr(joins, "ROWS", most)
         got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
         assert len(got) == len({r.node for r in got})
         assert {r.node: r.root for r in got} == {x: r for x, r in label.items() if x not in alone}
