@@ -8,8 +8,8 @@ these n-grams are the keys by which candidates meet, and a passage of many
 documents is a key only of those that consist of such passages.
 
 Sets that hold the same key are first compared with one of them, the head, and
-those that link are one component. Only keys whose sets are in several
-components after that are looked at again: parity sketches of their sets are
+those that link are one component. Sets of one key whose sizes are too far apart are parted at once. Only groups whose
+sets are in several components after that are looked at again: parity sketches of their sets are
 compared in blocks (each n-gram flips one bit of its set's, so two sketches
 differ in no more bits than the sets in n-grams), and pairs of different
 components that may link are verified, in rounds that stop when no pair of
@@ -24,12 +24,14 @@ nothing; with fewer words than an n-gram has, the words are its only n-gram;
 rows are taken one by one, also those that share a doc_id; a null doc_id stays
 null and is never the id of a component with others; an empty table gives an
 empty result; other columns are ignored. Sets and n-grams are told apart by 64
-bits. The documents are read three times and must be the same rows each time.
+bits. Texts are read again where their sets are needed, and must be the same each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,9 @@ from ancestra.llm.storage import checkpointed, free_name
 COMMON = 1 << 17
 COUNTED = 1 << 21
 
+#: Sets of one batch that share a key from which on only one of them is dealt by it.
+FOLLOWERS = 64
+
 #: Sets that are compared with one head in one task, and heads with more at most.
 GROUP, HEADS = 512, 1 << 16
 
@@ -59,8 +64,8 @@ FRAGMENT = 1 << 15
 #: Documents up to whose number candidates are broadcast to the scan of texts (16 bytes each).
 FEW = 500_000
 
-#: Pairs of two components that a task names in the second round, and the factor by which they grow.
-PAIRS = 16
+#: Pairs of two components that a task names at first, and the factor by which they grow each round.
+FIRST_PAIRS, PAIRS = 4, 16
 
 def sets(texts: scan.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each document in ascending order, and their bounds."""
@@ -180,8 +185,8 @@ _KEYS = "gram long, node long, n long, head long, head_n long, many boolean"
 
 
 def _keys(size: int, percent: int, common: np.ndarray):
-    """Of the sets of a batch that share a key, the least is its head in this batch; only
-    heads are dealt by key (many: whether others follow)."""
+    """Keys of a batch's sets. Where FOLLOWERS or more share one, the least is its head in
+    this batch and only the head is dealt by key (many: whether others follow)."""
     names = [f.split()[0] for f in _KEYS.split(", ")]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,8 @@ def _keys(size: int, percent: int, common: np.ndarray):
             gram, node, n = gram[first], node[first], n[first]
             starts = places.groups(gram)
             count = np.diff(np.append(starts, len(gram)))
-            columns = [gram.view(np.int64), node, n, np.repeat(node[starts], count), np.repeat(n[starts], count), np.repeat(count > 1, count)]
+            many = np.repeat(count >= FOLLOWERS, count)
+            columns = [gram.view(np.int64), node, n, np.where(many, np.repeat(node[starts], count), node), np.where(many, np.repeat(n[starts], count), n), many]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
 
     return keys
@@ -210,64 +216,98 @@ def _keys(size: int, percent: int, common: np.ndarray):
 _MEETING = "gram long, node long, n long, head long, head_n long"
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, node and head. Followers stay as they are; of the heads
-    of one key the least is the head of all, and alone it is left out unless it has followers."""
+def _meeting(percent: int):
+    """Rows come sorted by key and size.
+
+    Sets of one key whose sizes are too far apart for links are parted: where the next
+    size is out of reach, another group begins, and a set alone in its group is left
+    out. The least set of a group is its head. A key with followers stays one group,
+    and followers stay as they are."""
     names = [f.split()[0] for f in _MEETING.split(", ")]
 
     def met(columns: list[np.ndarray]) -> pa.RecordBatch:
-        gram, node, n, head, head_n, many = columns
-        follows = node != head
-        lead = np.flatnonzero(~follows)
-        starts = places.groups(gram[lead])
-        count = np.diff(np.append(starts, len(lead)))
+        follows = columns[1] != columns[3]
+        rest = [c[follows] for c in columns]
+        gram, node, n, _, _, many = (c[~follows] for c in columns)
+        starts = places.groups(gram)
         if len(starts):
-            several = np.maximum.reduceat(node[lead], starts) != np.minimum.reduceat(node[lead], starts)
-            several |= np.logical_or.reduceat(many[lead], starts)
-            top = np.repeat(lead[starts], count)
-            use = np.repeat(several, count)
-            head[lead], head_n[lead] = node[top], n[top]
-            follows[lead[use]] = True
-        return pa.RecordBatch.from_arrays([pa.array(x[follows]) for x in (gram, node, n, head, head_n)], names)
-
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False).copy() for c in batch.columns]
-        if not batch.num_rows:
-            continue
+            whole = np.repeat(np.logical_or.reduceat(many, starts), np.diff(np.append(starts, len(gram))))
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (~whole[1:] & (percent * n[1:] > 100 * n[:-1]))
+            starts = np.flatnonzero(new)
+            count = np.diff(np.append(starts, len(gram)))
+            with np.errstate(over="ignore"):
+                own = scan.mix(gram[starts].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n[starts].astype(np.uint64)).view(np.int64)
+            gram = np.where(whole, gram, np.repeat(own, count))
+            order = np.lexsort((node, np.repeat(np.arange(len(starts)), count)))
+            gram, node, n, whole = gram[order], node[order], n[order], whole[order]
+            head = np.repeat(starts, count)
+            use = whole | np.repeat(node[starts] != node[starts + count - 1], count)
+            use[1:] &= (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+            found = [gram[use], node[use], n[use], node[head][use], n[head][use]]
+        else:
+            found = [gram, node, n, node, n]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(found, rest)], names)
+
+    def meeting_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).copy() for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            held = [c[cut:] for c in columns]
+            if cut:
+                yield met([c[:cut] for c in columns])
         if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        held = [c[cut:] for c in columns]
-        if cut:
-            yield met([c[:cut] for c in columns])
-    if held is not None:
-        yield met(held)
+            yield met(held)
+
+    return meeting_of
 
 
 def meeting(text: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
     """(gram, node, n, head, head_n) of sets that share a key with another one."""
     keys = text.mapInArrow(_keys(size, percent, common), _KEYS)
     follower = F.when(F.col("node") == F.col("head"), F.xxhash64("gram")).otherwise(F.xxhash64("gram", "node"))
-    return keys.repartition(follower).sortWithinPartitions("gram", "node", "head").mapInArrow(_meeting, _MEETING)
-
+    return keys.repartition(follower).sortWithinPartitions("gram", "n").mapInArrow(_meeting(percent), _MEETING)
 
-_SETS = "node long, n long, sketch binary, value binary"
 
+def _of_texts(size: int, column: str, made):
+    """Rows (node, n, column) of texts; made: what the column holds of their sets."""
 
-def _with_sets(size: int, percent: int):
-    names = [f.split()[0] for f in _SETS.split(", ")]
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in scan.blocks(batch.column(0)):
                 hashes, bounds = sets(texts, size)
-                raw = hashes.astype("<u8").tobytes()
-                values = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                columns = [pa.array(_nodes(hashes, bounds)), pa.array(np.diff(bounds)), pa.array(parity_sketches(hashes, bounds, percent), pa.binary()), pa.array(values, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [pa.array(_nodes(hashes, bounds)), pa.array(np.diff(bounds)), pa.array(made(hashes, bounds), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", column])
+
+    return rows
+
+
+def _values(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    raw = hashes.astype("<u8").tobytes()
+    return [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
 
-    return made
+@dataclass
+class Corpus:
+    """Texts (see places.keyed), the key of one document of each set, and what links are."""
+
+    text: DataFrame
+    keys: DataFrame
+    size: int
+    percent: int
+
+    def of(self, nodes: DataFrame, column: str) -> DataFrame:
+        """(node, n, column) of the sets nodes: their sketches, or as value all their n-grams."""
+        wanted = checkpointed(nodes.distinct().join(self.keys, "node").select("key"))
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+        made = _values if column == "value" else partial(parity_sketches, percent=self.percent)
+        found = self.text.join(wanted, "key").select("text").mapInArrow(_of_texts(self.size, column, made), f"node long, n long, {column} binary")
+        return checkpointed(found)
 
 
 def _folded(raw: bytes, width: int) -> np.ndarray:
@@ -382,21 +422,27 @@ def _beside(pairs: DataFrame, material: DataFrame, column: str) -> DataFrame:
     each = max(GROUP, -(-total // HEADS))
     counts = pairs.groupBy("a").agg(F.count("*").alias("count"), F.first("a_n").alias("a_n"))
     counts = counts.withColumn("salts", F.ceil(F.col("count") / each).cast("int"))
-    large = F.broadcast(counts.where("salts > 1").select("a", "salts"))
+    large = F.broadcast(counts.where("salts > 1").select(F.col("a").alias("many"), F.col("salts").alias("parts")))
     what = material.select("node", "n", column)
-    members = pairs.select("a", "a_n", F.col("b").alias("node")).join(what, "node").join(large, "a", "left")
-    salt = F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    members = pairs.select("a", "a_n", F.col("b").alias("node")).join(what, "node")
+    parts = F.lit(1)
+    if total > each:
+        members, parts = members.join(large, F.col("a") == F.col("many"), "left"), F.coalesce("parts", F.lit(1))
+    salt = F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt")
     heads = counts.join(what, F.col("a") == F.col("node")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     order = ["a", "salt", "node", "n", column, "a_n"]
     return members.select("a", salt, "node", "n", column, "a_n").unionByName(heads.select(*order))
 
 
-def verified(pairs: DataFrame, material: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, corpus: Corpus) -> DataFrame:
     """Pairs (a, b) of those given that link."""
+    percent = corpus.percent
     pairs = checkpointed(pairs)
-    near = _beside(pairs, material, "sketch").drop("a_n").repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_sketched(percent), _PAIR)
+    near = _beside(pairs, sketches, "sketch").drop("a_n").repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_sketched(percent), _PAIR)
+    near = checkpointed(near)
+    values = corpus.of(near.select(F.col("a").alias("node")).union(near.select("b")), "value")
     task = ["a", "salt", "fragment"]
-    cut = _beside(checkpointed(near), material, "value").mapInArrow(_cut, "a long, salt long, fragment long, node long, n long, value binary")
+    cut = _beside(near, values, "value").mapInArrow(_cut, "a long, salt long, fragment long, node long, n long, value binary")
     parts = cut.repartition(*task).sortWithinPartitions(*task).mapInArrow(_overlapped, f"{_PAIR}, shared long")
     summed = parts.groupBy(*_NAMES).agg(F.sum("shared").alias("shared"))
     return summed.where(100 * F.col("shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select("a", "b")
@@ -404,7 +450,7 @@ def verified(pairs: DataFrame, material: DataFrame, percent: int) -> DataFrame:
 
 def _across(percent: int, most: int):
     """Of the sets of a task's two blocks pairs of different components that may link, and
-    whether there are more of the same two components than most."""
+    the key if there are more of the same two components than most."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_task(batches, 3):
@@ -426,27 +472,28 @@ def _across(percent: int, most: int):
                     times = named[both] = named.get(both, 0) + 1
                     if times <= most:
                         x, y = sorted((left[k][:2], right[q][:2]))
-                        out.append((*x, *y, 0))
+                        out.append((*x, *y))
             if out:
-                more = int(any(times > most for times in named.values()))
-                yield _pairs([(*x[:4], more) for x in out], "more")
+                more = rows[0][0] if any(times > most for times in named.values()) else None
+                yield _pairs([(*x, more) for x in out], "more")
 
     return compared
 
 
 def open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(gram, node, root, count) of keys whose sets are in several components; of keys with
-    the same sets one."""
+    """(gram, node, root) of groups whose sets are in several components; of groups with
+    the same sets one. Of two sets, one has been compared with the other as its head."""
     rooted = met.select("gram", "node").join(roots, "node", "left").select("gram", "node", F.coalesce("root", "node").alias("root"))
     rooted = checkpointed(rooted)
     keys = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"), F.bit_xor(F.xxhash64("node")).alias("print"))
-    merged = checkpointed(keys.where("low <> high").groupBy("count", "print", "low", "high").agg(F.min("gram").alias("gram")).select("gram", "count"))
-    return rooted.join(merged, "gram")
+    merged = keys.where("low <> high and count > 2").groupBy("count", "print", "low", "high").agg(F.min("gram").alias("gram")).select("gram")
+    return rooted.join(checkpointed(merged), "gram")
 
 
-def _left_over(met: DataFrame, roots: DataFrame, material: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs of different components that meet at a key and may link, and whether there are more."""
-    groups = open_groups(met, roots).join(material.select("node", "n", "sketch"), "node")
+def _left_over(met: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs of different components that meet in a group and may link, and the group's key
+    in column more if it has more of them."""
+    groups = checkpointed(open_groups(met, roots)).join(sketches, "node")
     size = F.greatest(F.lit(LEAST_BITS / 8), F.col("n") * (SKETCH_BITS / 8))
     weights = groups.groupBy("gram").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("n_blocks"))
     large = checkpointed(weights.where("n_blocks > 1"))
@@ -457,28 +504,41 @@ def _left_over(met: DataFrame, roots: DataFrame, material: DataFrame, percent: i
     return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(_across(percent, most), f"{_PAIR}, more long")
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links between nodes of theirs, or of none, join components."""
+    at = roots.select(F.col("node").alias("end"), F.col("root").alias("top"))
+    for side in ("a", "b"):
+        links = links.join(at, F.col(side) == F.col("end"), "left").select(*({"a", "b"} - {side}), F.coalesce("top", side).alias(side))
+    tops = components(links.select("a", "b")).withColumnsRenamed({"node": "old", "root": "new"})
+    tops = checkpointed(tops)
+    moved = roots.join(tops, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    others = tops.join(roots.select("node"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return checkpointed(moved.union(others))
+
+
 def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """key, doc_id, n_shingles, and root (one value a component) of each row."""
     text = places.keyed(docs)
     seen = checkpointed(text.mapInArrow(_surveyed(size), _SEEN))
     rows = seen.where("gram is null").drop("gram", "times")
     met = checkpointed(meeting(text, size, percent, common_grams(seen)))
-    wanted = met.select("node").distinct().join(rows.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")), "node")
-    wanted = checkpointed(wanted.select("key"))
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    material = checkpointed(text.join(wanted, "key").select("text").mapInArrow(_with_sets(size, percent), _SETS))
+    keys = checkpointed(rows.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")))
+    corpus = Corpus(text, keys, size, percent)
+    sketches = corpus.of(met.select("node"), "sketch")
     near_size = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     stars = met.where(F.col("node") != F.col("head")).where(near_size)
-    links = checkpointed(verified(stars.select(F.col("head").alias("a"), F.col("head_n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct(), material, percent))
-    roots, most = components(links), 1
+    links = checkpointed(verified(stars.select(F.col("head").alias("a"), F.col("head_n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct(), sketches, corpus))
+    roots, most = components(links), FIRST_PAIRS
     while True:
-        found = checkpointed(_left_over(met, roots, material, percent, most))
+        found = checkpointed(_left_over(met, roots, sketches, percent, most))
         if found.isEmpty():
             break
-        links = links.union(checkpointed(verified(found.select(*_NAMES).distinct(), material, percent)))
-        roots = components(links)
-        if found.where("more > 0").isEmpty():
+        links = checkpointed(verified(found.select(*_NAMES).distinct(), sketches, corpus))
+        roots = joined_roots(roots, links)
+        again = checkpointed(found.where("more is not null").select(F.col("more").alias("gram")).distinct())
+        if again.isEmpty():
             break
+        met = checkpointed(met.join(again, "gram", "left_semi"))
         most *= PAIRS
     joined = rows.join(roots, "node", "left")
     return joined.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))

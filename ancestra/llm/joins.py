@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ancestra.llm.storage import checkpointed, free_name
 
 #: A key with more rows than this, and than 1 / HEAVY of all, is looked up by broadcast.
-ROWS, HEAVY = 4000, 1 << 16
+ROWS, HEAVY = 8000, 1 << 16
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
