@@ -26,7 +26,7 @@ from ancestra.llm.storage import checkpointed
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_letters", "n_upper", "n_stops")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_letters", "n_upper", "n_stops", "n_runs")
 
 #: The characters that n_symbols counts.
 SYMBOLS = b"#*$%&|<>"
@@ -40,6 +40,8 @@ _UPPER[65:91] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[0xC3:] = True  # first bytes of letters beyond ASCII; a lead byte counts once
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -107,6 +109,10 @@ def count(column: pa.Array) -> dict[str, np.ndarray]:
         out[:, 7] = letters[texts.bounds[1:]] - letters[texts.bounds[:-1]]
         out[:, 8] = _per_doc(_UPPER[texts.data], texts.bounds)
         out[:, 9] = _per_doc(_STOP[texts.data[found.ends - 1]], found.bounds) if len(hashes) else 0
+        doubled = np.zeros(len(texts.data), bool)
+        doubled[1:] = (texts.data[1:] == texts.data[:-1]) & _MARK[texts.data[1:]]
+        doubled[texts.bounds[texts.bounds < len(doubled)]] = False
+        out[:, 10] = _per_doc(doubled, texts.bounds)
         parts.append(out)
     table = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
     return {name: np.ascontiguousarray(table[:, i]) for i, name in enumerate(COUNTS)}
@@ -128,10 +134,10 @@ RULES: dict[str, tuple[str, str, float, float, float, float]] = {
     "length": ("n_words", "", 12, 40, np.inf, np.inf),
     "word_length": ("word_chars", "n_words", 2.5, 3.5, 8, 12),
     "symbols": ("n_symbols", "n_words", -1, 0, 0.02, 0.2),
-    "symbol_share": ("n_symbols", "word_chars", -1, 0, 0.02, 0.2),
+    "doubled_marks": ("n_runs", "n_words", -1, 0, 0.04, 0.3),
     "repeated_lines": ("n_dup_lines", "n_lines", -1, 0, 0.05, 0.3),
     "repeated_words": ("n_repeat_words", "n_words", -1, 0, 0.02, 0.12),
-    "letters": ("n_alpha_words", "n_words", 0.52, 0.9, 1, 1),
+    "letters": ("n_alpha_words", "n_words", 0.65, 0.9, 1, 1),
     "capitals": ("n_upper", "n_letters", -1, 0, 0.2, 0.6),
     "sentences": ("n_stops", "n_words", 0.005, 0.02, 0.25, 0.5),
 }
@@ -152,6 +158,12 @@ def pattern(votes: np.ndarray) -> np.ndarray:
     return votes @ (3 ** np.arange(votes.shape[1], dtype=np.int64))
 
 
+#: Imagined votes (bad, good) a rule on bad documents and on good ones, and imagined
+#: documents (bad, good).
+PRIOR_VOTES = ((3, 7), (1, 49))
+PRIOR_DOCUMENTS = (2, 18)
+
+
 @dataclass
 class QualityModel:
     """Estimated prior and, by class and vote, each rule's chances.
@@ -161,7 +173,7 @@ class QualityModel:
     are ``chances[0][:, BAD]`` and ``chances[1][:, GOOD]`` among votes cast."""
 
     prior: float = 0.9
-    chances: np.ndarray = field(default_factory=lambda: np.tile(np.array([[0.3, 0.2, 0.5], [0.02, 0.1, 0.88]])[:, None], (1, len(RULES), 1)))
+    chances: np.ndarray = field(default_factory=lambda: np.tile(np.array([[0.27, 0.1, 0.63], [0.018, 0.1, 0.882]])[:, None], (1, len(RULES), 1)))
     threshold: float = 0.5
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
@@ -180,9 +192,9 @@ def _digits(patterns: np.ndarray) -> np.ndarray:
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, threshold: float = 0.5) -> QualityModel:
     """Expectation-maximisation over vote patterns and how often each occurs.
 
-    Bounds fix the two classes' names: of the votes cast on good documents at
-    most a tenth says bad, on bad documents at least a tenth, and half of all
-    documents at least are good. So a document without a bad vote stays."""
+    Votes that are imagined beside those cast (PRIOR_VOTES, PRIOR_DOCUMENTS) say
+    which class is which and keep a rule that seldom speaks from deciding alone;
+    they weigh less the more documents there are. The start is what they say."""
     model = QualityModel(threshold=threshold)
     patterns, counts = np.asarray(patterns, np.int64), np.asarray(counts, float)
     if not len(patterns):
@@ -192,11 +204,12 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, threshold: f
         good = model.posterior(patterns)
         for k, share in enumerate((1 - good, good)):
             seen = np.stack([((votes == v) * (share * counts)[:, None]).sum(0) for v in range(3)], 1)
-            cast = (seen[:, BAD] + 1) / (seen[:, BAD] + seen[:, GOOD] + 5)
-            bad = np.clip(cast, 0.1, 0.9) if k == 0 else np.clip(cast, 0.002, 0.1)
+            wrong, right = PRIOR_VOTES[k]
+            bad = (seen[:, BAD] + wrong) / (seen[:, BAD] + seen[:, GOOD] + wrong + right)
             rest = (seen[:, ABSTAIN] + 1) / (seen.sum(1) + 3)
             model.chances[k] = np.stack([bad * (1 - rest), rest, (1 - bad) * (1 - rest)], 1)
-        model.prior = float(np.clip((good * counts).sum() / counts.sum(), 0.5, 0.98))
+        few, many = PRIOR_DOCUMENTS
+        model.prior = float(((good * counts).sum() + many) / (counts.sum() + few + many))
     return model
 
 
@@ -224,13 +237,16 @@ def judge(docs: DataFrame, **options) -> DataFrame:
     rows = checkpointed(counted(docs))
     model, patterns = _fitted(rows, **options)
     p = model.posterior(np.array(patterns, np.int64)) if patterns else np.zeros(0)
-    known = F.map_from_entries(F.array(*(F.struct(F.lit(int(k)), F.lit(float(v))) for k, v in zip(patterns, p)))) if patterns else None
-    good = known[F.col("votes")] if patterns else F.lit(None).cast("double")
-    return rows.withColumn("p_good", F.when(~F.col("base_failed"), good)).withColumn("kept", F.coalesce(F.col("p_good") >= model.threshold, F.lit(False)))
+    table = docs.sparkSession.createDataFrame([(int(k), float(v)) for k, v in zip(patterns, p)], "pattern long, chance double")
+    judged = rows.join(F.broadcast(table), F.col("votes") == F.col("pattern"), "left")
+    judged = judged.select("doc_id", *COUNTS, "base_failed", "votes", F.when(~F.col("base_failed"), F.col("chance")).alias("p_good"))
+    return judged.withColumn("kept", F.coalesce(F.col("p_good") >= model.threshold, F.lit(False)))
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, unchanged, with all their columns."""
+    """The rows of docs that are kept, unchanged, with all their columns.
+
+    Each text is counted twice, which is cheaper than a shuffle of texts to their votes."""
     model, patterns = _fitted(counted(docs), **options)
     passed = np.sort(np.array([k for k, v in zip(patterns, model.posterior(np.array(patterns, np.int64)) if patterns else []) if v >= model.threshold], np.int64))
 
