@@ -5,7 +5,11 @@ them, the value after any word of a credential context, also one that is part of
 a name (DB_PASS, dbPassword), is cut into words,
 dates, repeats, keyboard walks and brute-force spans at the least total cost;
 the sum is the number of guesses, as a power of ten, that an attacker needs who
-tries easy segments first. A value beyond a threshold is a secret, too.
+tries easy segments first. Words cost by their place in a list of common
+passwords and, after it, in the vocabulary of a public tokenizer, which is in
+order of frequency. A value is a secret, too, if its cost is beyond a threshold
+in all and by character: what reads as words and dates, a path or a name, is
+long but cheap for its length.
 
 Defined cases: a null or empty text has no spans; repeated rows and doc_ids are
 scanned row by row; positions count code points; an empty table gives an empty
@@ -15,15 +19,19 @@ result; other columns are ignored by ``find`` and kept by ``redact``.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ancestra.llm.tokens import default_path
+
 KINDS = ("assign", "access", "hex", "guess")
 
 #: The three patterns of the base.
@@ -36,13 +44,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _WORD = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|secret|client)[_-]?(?:key|id|secret))"
 _TURN = r"(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
 WORD = re.compile(_WORD)
-CONTEXT = re.compile(rf"""{_TURN}(?={_WORD}["']?(?:\x20*(?P<explicit>:=|=>|[:=])\x20*|\x20(?i:is|was)\x20|\x20)["']?(?P<value>))""")
+CONTEXT = re.compile(rf"""{_TURN}(?={_WORD}["']?(?P<joint>\x20*(?::=|=>|[:=])\x20*|\x20(?i:is|was)\x20|\x20)["']?(?P<value>))""")
 VALUE = re.compile(r"""[^\s"'<>,;]+""")
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key", "client")
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
-#: log10 of the guesses from which a value counts as a secret.
-HARD = 10.0
+#: log10 of the guesses from which a value counts as a secret, in all and a character.
+HARD, DENSE = 10.0, 1.0
+
+#: Longest value whose cost is remembered.
+REMEMBERED = 128
+
+#: Shortest and longest word of the vocabulary that counts.
+WORD_SIZES = (3, 20)
 
 #: Common words of passwords, most common first; the place is the cost.
 COMMON = """password 123456 qwerty letmein welcome admin monkey dragon master login hello secret
@@ -61,26 +75,55 @@ WALKS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefgh
 _PLAIN = str.maketrans("@4301!5$7", "aaeoiisst")
 
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, COMMON))
 _STEPS = {a + b for walk in WALKS for row in (walk, walk[::-1]) for a, b in zip(row, row[1:])}
 
 
+@lru_cache(maxsize=2)
+def ranks(path: str = "") -> dict[str, int]:
+    """Place of each word: common passwords, then the words of a tokenizer's vocabulary by id."""
+    ids = json.loads(Path(path or default_path()).read_bytes())["model"]["vocab"]
+    words = [t.lstrip("Ġ").lower() for t in sorted(ids, key=ids.get)]
+    out: dict[str, int] = {}
+    for w in (*COMMON, *(w for w in words if w.isascii() and w.isalpha() and WORD_SIZES[0] <= len(w) <= WORD_SIZES[1])):
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+#: Kinds of characters and how many of each there are to guess from; JOINTS stand between words.
+JOINTS = "-_./:@ "
+_SIZES = (10, 26, 26, len(JOINTS), 33)
+_CHOICES = [0.0, *(math.log10(sum(n for k, n in enumerate(_SIZES) if mask >> k & 1)) for mask in range(1, 32))]
+
+#: log10 of the guesses where a segment ends and of what kind the next one is.
+SEGMENT = 0.5
+
+
+def _kind(c: str) -> int:
+    """The kind of a character, as a bit."""
+    if c in JOINTS:
+        return 8
+    if not c.isascii():
+        return 2 if c.isalpha() else 16
+    return 1 if c.isdigit() else 2 if c.islower() else 4 if c.isupper() else 16
+
+
 def _brute(value: str) -> float:
-    """log10 of the choices a character, by the kinds that the value uses."""
-    size = 10 * any(c.isdigit() for c in value) + 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value)
-    size += 33 * any(not (c.isascii() and c.isalnum()) for c in value)
-    return math.log10(max(size, 2))
+    """log10 of the spans of this length of the kinds of characters that the value has."""
+    mask = 0
+    for c in value:
+        mask |= _kind(c)
+    return len(value) * _CHOICES[mask]
 
 
-def _segments(value: str) -> Iterator[tuple[int, int, float]]:
+def _segments(value: str, path: str = "") -> Iterator[tuple[int, int, float]]:
     """Segments (start, end, cost) other than brute force."""
+    rank_of = ranks(path)
     low = value.lower()
     plain = low.translate(_PLAIN)
     n = len(value)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
+        for j in range(i + WORD_SIZES[0], min(n, i + WORD_SIZES[1]) + 1):
+            rank = rank_of.get(low[i:j]) or rank_of.get(plain[i:j])
             if rank:
                 odd = sum(a != b for a, b in zip(value[i:j], low[i:j])) + sum(a != b for a, b in zip(low[i:j], plain[i:j]))
                 yield i, j, math.log10(rank + 1) + 0.3 * min(odd, 6)
@@ -102,26 +145,36 @@ def _segments(value: str) -> Iterator[tuple[int, int, float]]:
                 j += 1
             times = (j - i) // unit
             if times >= (3 if unit == 1 else 2):
-                yield i, i + times * unit, unit * _brute(value[i : i + unit]) + math.log10(times)
+                yield i, i + times * unit, _brute(value[i : i + unit]) + math.log10(times)
                 i = j - unit + 1
             else:
                 i += 1
 
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
+def least_cost(value: str, path: str = "") -> float:
     """log10 of the guesses for a value: its cheapest segmentation."""
     n = len(value)
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _segments(value):
+    for i, j, cost in _segments(value, path):
         by_end.setdefault(j, []).append((i, cost))
-    step = _brute(value)
     best = [0.0] * (n + 1)
+    brute = [math.inf] * 32  # the least cost so far that ends in a brute-force span of these kinds
     for j in range(1, n + 1):
-        best[j] = min([best[j - 1] + step, *(best[i] + cost for i, cost in by_end.get(j, ()))])
+        kind = _kind(value[j - 1])
+        for mask in range(1, 32):
+            brute[mask] = min(brute[mask], best[j - 1] + SEGMENT) + _CHOICES[mask] if mask & kind else math.inf
+        best[j] = min(min(brute), *(best[i] + SEGMENT + cost for i, cost in by_end.get(j, ()))) if j in by_end else min(brute)
     return best[n]
 
 
+_remembered = lru_cache(maxsize=4096)(least_cost)
+
+
+def guess_cost(value: str, path: str = "") -> float:
+    """least_cost, remembered for values that are not long."""
+    return (_remembered if len(value) <= REMEMBERED else least_cost)(value, path)
+
+
 Span = tuple[int, int, str]
 
 
@@ -130,8 +183,8 @@ def _guessed(text: str, hard: float) -> Iterator[tuple[int, int]]:
 
     Contexts are looked for at every place, within values, too, but a run of
     characters is judged once, from its first context on: what is left of an
-    easy value is no harder. After an explicit joint the cost alone decides;
-    after a space the value must have 8 characters of two kinds."""
+    easy value is no harder. After a joint the cost alone decides; where only a
+    space stands, a run of letters alone is the next word of a sentence."""
     judged = 0
     for m in CONTEXT.finditer(text):
         run = VALUE.match(text, m.start("value")) if m.start("value") >= judged else None
@@ -139,8 +192,9 @@ def _guessed(text: str, hard: float) -> Iterator[tuple[int, int]]:
             continue
         judged = run.end()
         value = run[0].rstrip(".!?:)")
-        kinds = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
-        if (m["explicit"] or (len(value) >= 8 and kinds >= 2)) and not WORD.fullmatch(value) and guess_cost(value) >= hard:
+        if m["joint"] == " " and value.isalpha() or WORD.fullmatch(value):
+            continue
+        if guess_cost(value) >= max(hard, DENSE * len(value)):
             yield run.start(), run.start() + len(value)
 
 

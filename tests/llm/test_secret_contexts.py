@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from ancestra.llm import secrets
@@ -16,12 +18,25 @@ from ancestra.llm import secrets
         ("Authorization: Bearer eyJhbGciOiJIUzI1", "eyJhbGciOiJIUzI1"),
         ("auth: Qx7#bW", "Qx7#bW"),
         ("passphrase: gkwqzvhtrm", "gkwqzvhtrm"),
+        ("the password is xkqvbnzwtrplmjh", "xkqvbnzwtrplmjh"),
     ],
 )
 def test_value_of_a_credential_context_is_masked(text, value):
     assert secrets.redacted(text) == text.replace(value, "[SECRET]")
 
 
+@pytest.mark.parametrize("value", ["administrator-configuration", "configuration2024", "development-environment-1", "some.host.example.org:8080/path", "P@ssw0rd2023!"])
+def test_readable_values_are_no_secrets(value):
+    assert secrets.spans(f"the access key: {value} here") == []
+
+
+def test_cost_takes_time_in_proportion():
+    """A value is searched whole, however long it is, and not remembered then."""
+    value = "ab3$k" * 4000
+    assert secrets.guess_cost(value) <= secrets._brute("ab3$k") + math.log10(4000) + secrets.SEGMENT + 1e-9
+    assert secrets.spans("key api_key: " + "Zq7$" + "x9K!" * 3 + "w8#" * 2)[-1][2] == "guess"
+
+
 @pytest.mark.parametrize("text", ["compass Zx9$kQ27vLp", "the pass gkwqzvhtrm", "DB_PASS=letmein", "Authorization: Bearer"])
 def test_other_values_stay(text):
     assert [s for s in secrets.spans(text) if s[2] == "guess"] == []
