@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Sizes are summed by source and by the leading bits of a hash of doc_id. The
+Sizes are summed by source and by the leading bits of a hash of doc_id and text. The
 bucket in which a source's running sum crosses its budget is refined by the next
 bits, level by level, and nothing else is looked at again. So the threshold that
 meets the budget is found without sorting documents, and one comparison with it
@@ -8,8 +8,8 @@ says whether a document is taken. Whole copies come first: a source whose target
 is above its size is taken once in full, and the budget concerns the second copy.
 
 All of it is DataFrame operations. Defined cases: a null or empty text has size
-0; a null source is a source of its own, the last; rows with one doc_id in one
-source share their hash and are taken together; an empty table gives an empty
+0; a null source is a source of its own, the last; rows with one doc_id and text
+in one source share their hash and are taken together; an empty table gives an empty
 result; other columns are ignored, or kept by ``apply``.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ancestra.llm.storage import checkpointed
+from ancestra.llm.storage import checkpointed, free_name
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -46,8 +46,8 @@ def source_key(source: str = "source") -> Column:
     return F.when(s.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), s))
 
 
-def document_hash(seed: str, doc_id: str = "doc_id") -> Column:
-    digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")))
+def document_hash(seed: str, doc_id: str = "doc_id", text: str = "text") -> Column:
+    digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -84,7 +84,7 @@ def thresholds(rows: DataFrame, aims: DataFrame, few: bool = False) -> DataFrame
         upto = F.sum("size").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
         crossing = buckets.withColumn("upto", upto).where(F.col("upto") > F.col("budget"))
         edge = crossing.groupBy("key").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"), "upto"), "bucket").alias("edge"))
-        state = (
+        state = checkpointed(
             state.join(edge, "key", "left")
             .withColumn("at", F.coalesce(F.col("edge.upto") - F.col("budget") < F.col("budget") - F.col("edge.before"), F.lit(False)))
             .withColumn("budget", F.col("budget") - F.coalesce(F.col("edge.before"), F.lit(0)))
@@ -117,10 +117,12 @@ def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
 def apply(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """docs as the mix takes them: each row as often as it says, with all its columns."""
     _, sources = plan(docs, seed, **options)
-    known = sources.select(F.struct("copies", "threshold", "at").alias("__take"), F.col("key").alias("__key"))
-    taken = docs.withColumn("__source", source_key()).withColumn("__hash", document_hash(seed)).join(known, F.col("__source") == F.col("__key"))
-    n = F.col("__take.copies") + ((F.col("__hash") < F.col("__take.threshold")) | ((F.col("__hash") == F.col("__take.threshold")) & F.col("__take.at"))).cast("long")
-    many = taken.withColumn("__times", n).where("__times > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    key, hash_, take, time = (free_name(docs, name) for name in ("key", "hash", "take", "time"))
+    known = sources.select(F.struct("copies", "threshold", "at").alias(take), F.col("key").alias(f"{key}_"))
+    taken = docs.withColumn(key, source_key()).withColumn(hash_, document_hash(seed)).join(known, F.col(key) == F.col(f"{key}_"))
+    below = (F.col(hash_) < F.col(f"{take}.threshold")) | ((F.col(hash_) == F.col(f"{take}.threshold")) & F.col(f"{take}.at"))
+    times_ = (F.col(f"{take}.copies") + below.cast("long")).cast("int")
+    many = taken.where(times_ > 0).withColumn(time, F.explode(F.sequence(F.lit(1), times_)))
     return many.select(*docs.columns)
 
 
@@ -128,7 +130,7 @@ ORACLE_SQL = """
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS k,
     CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15) AS BIGINT) AS h
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix:' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 by_source AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY k),
 weighed AS (
