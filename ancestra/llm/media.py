@@ -2,9 +2,11 @@
 
 ``encode`` stores a payload of bytes losslessly as 8-bit samples of a WAV file
 in a binary column; ``fingerprint`` reads such a column back with the wave
-module, takes short-time Fourier transforms, picks the strongest peaks of each
-frame, and pairs each peak with the next frames' peaks. A pair is stored as one
-number under the time of its first peak, in time order.
+module, takes short-time Fourier transforms, picks the spectral peaks of each
+frame, at most one a band, and pairs each peak with the next frames' peaks. A pair
+is stored as one number under the time of its first peak, in time order. A peak
+is greater than its neighbours and stands above the median of its frame, so
+silence has none and noise has few.
 
 Defined cases: a null or empty text is a payload of 64 zero bytes; repeated
 rows and doc_ids are encoded row by row, equal texts to equal bytes; an empty
@@ -33,6 +35,9 @@ FRAME = 128
 #: Frequency bands in which each frame has one peak.
 BANDS = ((1, 12), (12, 65))
 
+#: Times the median of its frame that a peak has at least.
+ABOVE = 2.5
+
 #: A peak is paired with those of so many frames after it.
 REACH = 2
 
@@ -76,7 +81,7 @@ _WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def peaks(blocks: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The strongest frequency of each band in each frame, one row a block of HOP samples.
+    """The peak of each band in each frame, 0 for none, one row a block of HOP samples.
 
     A frame is a block and the one after it; a sound's last block stands with silence."""
     signal = blocks.astype(np.float32) - 128
@@ -84,7 +89,15 @@ def peaks(blocks: np.ndarray, ends: np.ndarray) -> np.ndarray:
     after[:-1] = signal[1:]
     after[ends - 1] = 0
     power = np.abs(np.fft.rfft(np.concatenate([signal, after], 1) * _WINDOW, axis=1))
-    return np.stack([power[:, a:b].argmax(1) + a for a, b in BANDS], 1)
+    least = ABOVE * np.median(power[:, 1:], axis=1)
+    frame, out = np.arange(len(power)), []
+    for a, b in BANDS:
+        at = power[:, a:b].argmax(1) + a
+        here = power[frame, at]
+        beside = np.maximum(power[frame, at - 1], power[frame, np.minimum(at + 1, power.shape[1] - 1)])
+        above = (here > least) & (here > 1e-3) & ((here > beside) | ((at == power.shape[1] - 1) & (here >= beside)))
+        out.append(np.where(above, at, 0))
+    return np.stack(out, 1)
 
 
 def pairs(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +113,9 @@ def pairs(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at = np.flatnonzero(left > distance)
         for a in range(len(BANDS)):
             for b in range(len(BANDS)):
-                parts.append(time[at] << 20 | found[at, a] << 13 | found[at + distance, b] << 6 | distance)
-                where.append(at)
+                both = at[(found[at, a] > 0) & (found[at + distance, b] > 0)]
+                parts.append(time[both] << 20 | found[both, a] << 13 | found[both + distance, b] << 6 | distance)
+                where.append(both)
     codes, where = np.concatenate(parts), np.concatenate(where)
     order = np.argsort(where, kind="stable")
     return codes[order], np.searchsorted(where[order], bounds)

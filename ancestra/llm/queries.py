@@ -52,7 +52,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.fingerprint(media.encode(documents(spark, sf_dir)))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature().alias("feature"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature().alias("feature"), "fingerprint")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

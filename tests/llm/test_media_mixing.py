@@ -44,6 +44,36 @@ def test_peaks_are_the_tone():
     assert (np.diff(codes >> 20) >= 0).all()
 
 
+def test_silence_has_no_peaks_and_a_chord_has_both():
+    assert not media.peaks(np.full((5, 64), 128, np.uint8), np.array([5])).any()
+    t = np.arange(64 * 8)
+    chord = (128 + 50 * np.sin(2 * np.pi * 5 * t / media.FRAME) + 50 * np.sin(2 * np.pi * 30 * t / media.FRAME)).astype(np.uint8).reshape(-1, 64)
+    assert (media.peaks(chord, np.array([8]))[:-1] == [5, 30]).all()
+
+
+def test_fingerprints_are_of_the_brute_transform():
+    """Each frame's transform by its definition, peaks and pairs one at a time."""
+    rng = np.random.default_rng(3)
+    t = np.arange(64 * 7)
+    sound = (128 + rng.integers(-30, 30, 64 * 7) + 60 * np.sin(t * (0.2 + t / 4000))).clip(0, 255).astype(np.uint8)
+    signal = np.append(sound.astype(float) - 128, np.zeros(64))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(128) / 128)
+    peaks = []
+    for f in range(7):
+        x = signal[64 * f : 64 * f + 128] * window
+        power = [abs(sum(v * np.exp(-2j * np.pi * k * i / 128) for i, v in enumerate(x))) for k in range(65)]
+        row = []
+        for a, b in media.BANDS:
+            k = max(range(a, b), key=lambda k: power[k])
+            top = power[k] > power[k - 1] and (k == 64 or power[k] > power[k + 1])
+            row.append(k if top and power[k] > media.ABOVE * np.median(power[1:]) else 0)
+        peaks.append(row)
+    expected = [t << 20 | a << 13 | b << 6 | d for t in range(7) for d in range(1, media.REACH + 1) if t + d < 7 for a in peaks[t] for b in peaks[t + d] if a and b]
+    found = media.peaks(sound.reshape(-1, 64), np.array([7]))
+    assert found.tolist() == peaks and expected
+    assert sorted(media.pairs(found, np.array([0, 7]))[0].tolist()) == sorted(expected)
+
+
 def test_fingerprints_do_not_cross_sounds():
     blocks = np.random.default_rng(0).integers(0, 256, (6, 64)).astype(np.uint8)
     one = media.peaks(blocks[:3], np.array([3]))
@@ -94,6 +124,22 @@ def test_mix(docs, hard):
     check_mix(hard)
 
 
+def test_apply_keeps_clashing_columns(spark):
+    rows = [(k, f"word {k} more", "ab"[k % 2], k, -k, f"t{k}") for k in range(40)]
+    names = ["doc_id", "text", "source", "__hash", "__key", "__time"]
+    told = {r[0]: r for r in rows}
+    out = mixing.apply(spark.createDataFrame(rows, names)).collect()
+    assert out and all(tuple(r) == told[r.doc_id] for r in out)
+
+
+def test_rows_of_one_doc_id_are_taken_apart(spark):
+    """Different texts under one doc_id, or none, do not share a threshold."""
+    rows = [(None if k % 2 else 7, f"words of row {k}", "a") for k in range(300)] + [(1, "x y z " * 300, "b")]
+    check = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source_size").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 1800 for r in check)
+    assert any(r["source_size"] == 1200 and abs(r["sum(taken)"] - r["max(target)"]) <= 8 for r in check)
+
+
 def test_many_sources_without_broadcast(docs, monkeypatch):
     monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
     check_mix(docs)
