@@ -156,9 +156,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(dealt: DataFrame) -> DataFrame:
     """Rows whose (g, g2) stands at two places at least, or whose state says so.
 
-    Ranges of hashes meet one after another, each small: there are more of them the
-    more shuffle partitions there are, and a hash comes about once a batch."""
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered, SCHEMA)
+    Ranges of hashes are dealt to partitions by their number, as many to each, and
+    meet one after another, each small: there are more of them the more shuffle
+    partitions there are, and a hash comes about once a batch."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(_gathered, SCHEMA)
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
