@@ -6,6 +6,8 @@ others that are kept; citations have source and target.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,43 +108,78 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(best.select("label"), "label", "left_semi").select("id")
 
 
+def _narrow(nodes: DataFrame) -> DataFrame:
+    """nodes with titles as keys, and in place of each abstract where it stands."""
+    at = F.when(~missing(F.col("abstract")), F.concat_ws("|", "id", F.col("ord").cast("string")))
+    return nodes.withColumn("title", text.title_key(F.col("title"))).withColumn("abstract", at)
+
+
+def _with_texts(narrow: DataFrame, nodes: DataFrame, titles: DataFrame) -> DataFrame:
+    """narrow with its texts: corrected titles, or its own, and the abstracts that it names."""
+    texts = nodes.select("id", "ord", F.col("title").alias("own"), F.col("abstract").alias("told")).dropDuplicates(["id", "ord"])
+    titled = narrow.join(texts.select("id", "ord", "own"), ["id", "ord"]).join(titles, "id", "left")
+    bodies = texts.select(F.concat_ws("|", "id", F.col("ord").cast("string")).alias("abstract"), "told").where(~missing(F.col("told")))
+    whole = titled.join(bodies, "abstract", "left").withColumn("title", F.coalesce("new_title", "own")).withColumn("abstract", F.col("told"))
+    return whole.select(*narrow.columns)
+
+
 def clean(nodes: DataFrame, edges: DataFrame, *, exclude: DataFrame, titles: DataFrame, merge: DataFrame, start: int | None = None, end: int | None = None, largest_only: bool = True, ascii_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Clean works, clean citations, and a one-row report of what each step took."""
-    counts: dict[str, int] = {"raw_nodes": nodes.count(), "raw_edges": edges.count()}
-    unique = first_of_each(nodes)
-    counts["duplicate_nodes"] = counts["raw_nodes"] - unique.count()
+    """Clean works, clean citations, and a one-row report of what each step took.
+
+    The steps run on keys and years; titles and abstracts are joined once, at the end.
+    Rows of one id must differ in ord."""
+    unique = checkpointed(first_of_each(_narrow(nodes)))
     left = excluded(unique, exclude)
     held = checkpointed(renamed(retitled(left, titles)))
-    counts["retitled_nodes"] = left.join(titles, "id", "left_semi").count()
-    before = left.select("id", F.posexplode("authors").alias("k", "old"))
-    after = held.select("id", F.posexplode("authors").alias("k", "new"))
-    counts["renamed_authors"] = before.join(after, ["id", "k"]).where("old <> new").count()
-    n_held = held.count()
-    counts["excluded_nodes"] = counts["raw_nodes"] - counts["duplicate_nodes"] - n_held
     works, cites = folded(held, edges, merge)
     works, cites = checkpointed(works), checkpointed(cites)
     works, cites = folded(works, cites, versions(works, cites, ascii_only))
     works, cites = checkpointed(works), checkpointed(cites)
-    n_works = works.count()
-    counts["merged_nodes"] = n_held - n_works
-    works = in_range(works, start, end)
-    n_range = works.count()
-    counts["out_of_range_nodes"] = n_works - n_range
-    cites = checkpointed(distinct_edges(cites))
-    n = cites.count()
-    counts["duplicate_edges"] = counts["raw_edges"] - n
-    cites = without_loops(cites)
-    n_loops = cites.count()
-    counts["self_loops"] = n - n_loops
-    cites = checkpointed(without_dangling(cites, works))
-    counts["dangling_edges"] = n_loops - cites.count()
-    dated = checkpointed(redated(works, cites))
-    counts["redated_nodes"] = dated.select("id", F.col("year").alias("new")).join(works.select("id", "year"), "id").where("new <> year").count()
+    ranged = in_range(works, start, end)
+    single = checkpointed(distinct_edges(cites))
+    straight = without_loops(single)
+    joined = checkpointed(without_dangling(straight, ranged))
+    dated = checkpointed(redated(ranged, joined))
+    final, ends = dated, joined
     if largest_only:
-        keep = checkpointed(largest_component(dated, cites))
-        dated = dated.join(keep, "id", "left_semi")
-        cites = without_dangling(cites, keep)
-        counts["disconnected_nodes"] = n_range - keep.count()
-    counts["nodes"], counts["edges"] = dated.count(), cites.count()
-    report = nodes.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
-    return dated, cites, report
+        keep = checkpointed(largest_component(dated, joined))
+        final, ends = dated.join(keep, "id", "left_semi"), without_dangling(joined, keep)
+    before = left.select("id", F.posexplode("authors").alias("k", "old"))
+    after = held.select("id", F.posexplode("authors").alias("k", "new"))
+    tables = {
+        "raw_nodes": nodes,
+        "unique": unique,
+        "retitled_nodes": left.join(titles, "id", "left_semi"),
+        "renamed_authors": before.join(after, ["id", "k"]).where("old <> new"),
+        "held": held,
+        "works": works,
+        "ranged": ranged,
+        "raw_edges": edges,
+        "single": single,
+        "straight": straight,
+        "joined": joined,
+        "redated_nodes": dated.select("id", F.col("year").alias("new")).join(ranged.select("id", "year"), "id").where("new <> year"),
+        "final": final,
+        "ends": ends,
+    }
+    counted = functools.reduce(DataFrame.union, (t.agg(F.count("*").alias("n")).withColumn("name", F.lit(name)) for name, t in tables.items()))
+    n = counted.groupBy().pivot("name", list(tables)).agg(F.first("n"))  # one row
+    c = F.col
+    report = n.select(
+        "raw_nodes",
+        "raw_edges",
+        (c("raw_nodes") - c("unique")).alias("duplicate_nodes"),
+        "retitled_nodes",
+        "renamed_authors",
+        (c("unique") - c("held")).alias("excluded_nodes"),
+        (c("held") - c("works")).alias("merged_nodes"),
+        (c("works") - c("ranged")).alias("out_of_range_nodes"),
+        (c("raw_edges") - c("single")).alias("duplicate_edges"),
+        (c("single") - c("straight")).alias("self_loops"),
+        (c("straight") - c("joined")).alias("dangling_edges"),
+        "redated_nodes",
+        *([(c("ranged") - c("final")).alias("disconnected_nodes")] if largest_only else []),
+        c("final").alias("nodes"),
+        c("ends").alias("edges"),
+    )
+    return _with_texts(final, nodes, titles), ends, report

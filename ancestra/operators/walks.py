@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ancestra.operators import joins
 from ancestra.plans.storage import checkpointed
 
 
@@ -68,19 +69,23 @@ def acyclic(lineage: DataFrame, years: DataFrame) -> DataFrame:
     return placed.where("not coalesce(ks = kt and ps > pt, false)").select("origin", "source", "target")
 
 
-def propagate(weighted: DataFrame, origins: DataFrame) -> DataFrame:
-    """origin, id, mass: all mass that flows from each origin along acyclic weighted
-    edges (origin, source, target, w), the sum over all paths of their weights' product."""
+def propagate(weighted: DataFrame, origins: DataFrame, least: float = 0.0, most: int = 1 << 10) -> DataFrame:
+    """origin, id, mass: all mass that flows from each origin along weighted edges
+    (origin, source, target, w), the sum over all walks of their weights' product.
+
+    On an acyclic graph it ends by itself; elsewhere when no origin has more than least
+    in motion, or after so many rounds."""
     step = checkpointed(weighted.select(F.col("origin").alias("o"), "source", "target", "w"))
     now = origins.select("origin", F.col("origin").alias("id"), F.lit(1.0).alias("mass"))
-    total = None
+    total, rounds = None, 0
     while True:
         for _ in range(4):
             now = now.join(step, (F.col("origin") == F.col("o")) & (F.col("id") == F.col("source"))).groupBy("origin", F.col("target").alias("id")).agg(F.sum(F.col("mass") * F.col("w")).alias("mass"))
             total = now if total is None else total.union(now)
         now = checkpointed(now)
         total = checkpointed(total.groupBy("origin", "id").agg(F.sum("mass").alias("mass")))
-        if now.isEmpty():
+        rounds += 4
+        if rounds >= most or now.groupBy("origin").agg(F.sum("mass").alias("moving")).where(F.col("moving") > least).isEmpty():
             return total
 
 
@@ -134,21 +139,20 @@ def gateway(lineage: DataFrame, origins: DataFrame) -> DataFrame:
     return left.join(whole, "origin").select("origin", "id", (F.col("whole") - 1 - F.col("left")).cast("double").alias("score"))
 
 
-def pagerank(lineage: DataFrame, reached: DataFrame, alpha: float = 0.85, rounds: int = 12) -> DataFrame:
-    """Personalised PageRank: teleports and works that cite nothing return to the origin."""
-    nodes = checkpointed(reached.select("origin", "id"))
-    degree = lineage.groupBy("origin", F.col("source").alias("id")).agg(F.count("*").alias("degree"))
-    step = checkpointed(lineage.join(degree.withColumnRenamed("id", "source"), ["origin", "source"]))
-    known = checkpointed(nodes.join(degree, ["origin", "id"], "left"))
-    rank = known.withColumn("rank", F.when(F.col("id") == F.col("origin"), 1.0).otherwise(0.0))
-    for k in range(rounds):
-        passed = rank.select("origin", F.col("id").alias("source"), "rank").join(step, ["origin", "source"]).groupBy("origin", F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        loose = rank.where("degree is null").groupBy("origin").agg(F.sum("rank").alias("loose"))
-        back = F.when(F.col("id") == F.col("origin"), 1 - F.lit(alpha) + F.lit(alpha) * F.coalesce("loose", F.lit(0.0))).otherwise(0.0)
-        rank = known.join(passed, ["origin", "id"], "left").join(loose, "origin", "left").select("origin", "id", "degree", (F.lit(alpha) * F.coalesce("got", F.lit(0.0)) + back).alias("rank"))
-        if k % 4 == 3:
-            rank = checkpointed(rank)
-    return rank.where("id <> origin").select("origin", "id", F.col("rank").alias("score"))
+def pagerank(lineage: DataFrame, reached: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, most: int = 100) -> DataFrame:
+    """Personalised PageRank: teleports and works that cite nothing return to the origin.
+
+    All that returns starts anew from the origin, so ranks are the mass of all damped
+    walks from it, scaled to one. The walks are followed until less than tolerance
+    of an origin's mass is in motion, which on a lineage takes about as many rounds as
+    it is deep, and not as many as the teleports need to settle."""
+    nodes = reached.select("origin", "id")
+    degree = lineage.groupBy("origin", "source").agg(F.count("*").alias("degree"))
+    weighted = lineage.join(degree, ["origin", "source"]).withColumn("w", F.lit(alpha) / F.col("degree"))
+    moved = propagate(weighted, nodes.select("origin").distinct(), tolerance, most)
+    mass = nodes.join(moved, ["origin", "id"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)) + (F.col("id") == F.col("origin")).cast("int"))
+    whole = mass.groupBy("origin").agg(F.sum("mass").alias("whole"))
+    return mass.where("id <> origin").join(whole, "origin").select("origin", "id", (F.col("mass") / F.col("whole")).alias("score"))
 
 
 def ranked(scores: DataFrame, top: int = 10) -> DataFrame:
@@ -176,14 +180,5 @@ def skeleton(lineage: DataFrame, shown: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and label (least id of its weakly connected component) of all nodes."""
-    both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).union(edges.select("target", "source")).where("x <> y").distinct()
-    both = checkpointed(both)
-    label = nodes.select("id", F.col("id").alias("label"))
-    while True:
-        near = both.join(label, F.col("y") == F.col("id")).groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
-        nearer = label.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        hop = label.select(F.col("id").alias("next"), F.col("label").alias("hop"))
-        moved = checkpointed(nearer.join(hop, "next", "left").select("id", "label", F.least("next", F.coalesce("hop", "next")).alias("next")))
-        if moved.where("label <> next").isEmpty():
-            return label
-        label = moved.select("id", F.col("next").alias("label"))
+    roots = joins.components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("label"))

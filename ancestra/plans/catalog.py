@@ -8,11 +8,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ancestra.functions import text
-from ancestra.operators import clean, content, crawl, metrics, models, narrative, present, recover, stats, temporal, walks
+from ancestra.operators import answers, clean, content, crawl, fields, metrics, models, narrative, present, ranking, recover, stats, temporal, walks
 from ancestra.plans import fixtures as fx
-from ancestra.plans.storage import checkpointed
+from ancestra.plans.storage import checkpointed, new_folder
+from ancestra.sources import settings
+from ancestra.sources import works as records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,12 +54,13 @@ ACYCLIC = (
 ROUNDS = 64
 
 
-def _mass(edges: str, weight: str) -> list[str]:
+def _mass(edges: str, weight: str, tag: str = "") -> list[str]:
     """A chain of common tables that moves mass along edges, a round each."""
-    out = ["m0 AS MATERIALIZED (SELECT origin AS id, CAST(1 AS DOUBLE) AS mass FROM newest)"]
+    m = f"m{tag}"
+    out = [f"{m}0 AS MATERIALIZED (SELECT origin AS id, CAST(1 AS DOUBLE) AS mass FROM newest)"]
     for k in range(1, ROUNDS):
-        out.append(f"m{k} AS MATERIALIZED (SELECT e.target AS id, sum(m.mass * {weight}) AS mass FROM m{k - 1} m JOIN {edges} e ON e.source = m.id GROUP BY e.target)")
-    out.append("moved AS (SELECT id, sum(mass) AS mass FROM (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, ROUNDS)) + ") GROUP BY id)")
+        out.append(f"{m}{k} AS MATERIALIZED (SELECT e.target AS id, sum(m.mass * {weight}) AS mass FROM {m}{k - 1} m JOIN {edges} e ON e.source = m.id GROUP BY e.target)")
+    out.append(f"moved{tag} AS (SELECT id, sum(mass) AS mass FROM (" + " UNION ALL ".join(f"SELECT * FROM {m}{k}" for k in range(1, ROUNDS)) + ") GROUP BY id)")
     return out
 
 
@@ -103,10 +107,9 @@ def citing_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(works, "citer").where("year >= 1981").select("id", "citer", "year")
 
 
-@query(_with(fx.BASE) + "SELECT id, CAST((row_number() OVER (ORDER BY n) - 1) // 50 AS BIGINT) AS chunk FROM works WHERE n % 3 = 0")
+@query(_with(fx.BASE) + "SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 50 AS BIGINT) AS chunk FROM works")
 def id_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = fx.works(spark, sf_dir).where("n % 3 = 0")
-    return some.select("id", F.expr("(row_number() OVER (ORDER BY n) - 1) div 50").alias("chunk"))
+    return records.chunks(fx.works(spark, sf_dir).select("id"), 50)
 
 
 @query(_with(fx.BASE, fx.RAW) + "SELECT id, title FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS k FROM raw_works) WHERE k = 1")
@@ -187,7 +190,8 @@ CLEAN = (
     "edges5 AS (SELECT * FROM edges4 WHERE source IN (SELECT id FROM nodes3) AND target IN (SELECT id FROM nodes3))",
     "nodes4 AS (" + _redate("nodes3", "edges5") + ")",
     "around AS MATERIALIZED (SELECT source AS x, target AS y FROM edges5 UNION SELECT target, source FROM edges5)",
-    "spread(root, id) AS (SELECT id, id FROM nodes4 WHERE id IN (SELECT min(x) FROM around) UNION SELECT s.root, a.y FROM spread s JOIN around a ON a.x = s.id)",
+    "spread(id, other) AS (SELECT id, id FROM nodes4 UNION SELECT s.id, a.y FROM spread s JOIN around a ON a.x = s.other)",
+    "labels AS MATERIALIZED (SELECT id, min(other) AS label FROM spread GROUP BY id)",
 )
 
 
@@ -195,8 +199,7 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return clean.clean(fx.raw_works(spark, sf_dir), fx.raw_citations(spark, sf_dir), exclude=fx.exclusions(spark, sf_dir), titles=fx.corrections(spark, sf_dir), merge=fx.merges(spark, sf_dir), start=fx.START, end=fx.END, ascii_only=True)
 
 
-# The largest component of these data holds the least id of all cited works.
-KEPT = "kept AS (SELECT id FROM spread)"
+KEPT = "kept AS (SELECT id FROM labels WHERE label = (SELECT label FROM labels GROUP BY label ORDER BY count(*) DESC, label LIMIT 1))"
 
 
 @query(_with(*CLEAN, KEPT, recursive=True) + "SELECT id, title, abstract, year, array_to_string(authors, '; ') AS authors FROM nodes4 WHERE id IN (SELECT id FROM kept)")
@@ -243,21 +246,29 @@ def redate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _with(fx.BASE, "links AS (SELECT source AS x, target AS y FROM edges WHERE (hash(source) IS NOT NULL) AND CAST(substr(source, 2) AS BIGINT) % 4 = 0 UNION SELECT target, source FROM edges WHERE CAST(substr(source, 2) AS BIGINT) % 4 = 0)", "near(id, other) AS (SELECT id, id FROM works UNION SELECT n.id, l.y FROM near n JOIN links l ON l.x = n.other)", recursive=True)
+    _with(fx.BASE, "near(id, other) AS (SELECT id, id FROM works UNION SELECT n.id, l.y FROM near n JOIN (SELECT source AS x, target AS y FROM edges UNION SELECT target, source FROM edges) l ON l.x = n.other)", recursive=True)
     + "SELECT id, min(other) AS label FROM near GROUP BY id"
 )
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fx.citations(spark, sf_dir).where(F.substring("source", 2, 20).cast("long") % 4 == 0)
-    return walks.components(edges, fx.works(spark, sf_dir).select("id"))
+    return walks.components(fx.citations(spark, sf_dir), fx.works(spark, sf_dir).select("id"))
 
 
-@query(
-    _with(fx.BASE, "near(id, other) AS (SELECT id, id FROM works UNION SELECT n.id, l.y FROM near n JOIN (SELECT source AS x, target AS y FROM edges UNION SELECT target, source FROM edges) l ON l.x = n.other)", recursive=True)
-    + "SELECT id, min(other) AS label FROM near GROUP BY id"
-)
-def weak_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weak components over all citations; weak_components is of a quarter of them."""
-    return walks.components(fx.citations(spark, sf_dir), fx.works(spark, sf_dir).select("id"))
+@query(_with(fx.BASE, fx.RAW) + "SELECT id, ord, coalesce(regexp_extract_all(lower(strip_accents(authors[1])), '[a-z]+')[-1], regexp_replace(authors[1], '\\s', '', 'g'), '') AS key FROM raw_works")
+def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.raw_works(spark, sf_dir).select("id", "ord", text.first_author_key(F.col("authors")).alias("key"))
+
+
+@query(_with(fx.BASE, fx.RAW) + "SELECT id, title, year, topic FROM works UNION ALL SELECT id, NULL, NULL, NULL FROM (SELECT source AS id FROM raw_edges UNION SELECT target FROM raw_edges) WHERE id NOT IN (SELECT id FROM works)")
+def graph_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.attributed(fx.works(spark, sf_dir), fx.raw_citations(spark, sf_dir), ("title", "year", "topic"))
+
+
+@query()
+def field_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field cleaned by its settings into a snapshot: the report of its steps and graph."""
+    told = {t: [tuple(r) for r in rows.orderBy("id").limit(20).collect()] for t, rows in (("exclude", fx.exclusions(spark, sf_dir)), ("titles", fx.corrections(spark, sf_dir)))}
+    field = settings.Field("all", "", ("W1", "W2"), exclude=tuple(r[0] for r in told["exclude"]), titles=dict(told["titles"]), crawl=settings.Crawl(start=fx.START, end=fx.END))
+    return fields.build_field(spark, field, fx.raw_works(spark, sf_dir), fx.raw_citations(spark, sf_dir), new_folder(spark, "fields"), "2025-01-01")[1]
 
 
 # Statistics
@@ -339,6 +350,15 @@ def threshold_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.fill(fx.citations(spark, sf_dir), _fetched(spark, sf_dir), 2)
 
 
+@query(_with(fx.BASE, HOPS, FETCHED, recursive=True) + "SELECT 'backward' AS phase, hop, id FROM fetched ORDER BY hop, id LIMIT 40")
+def crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty works of a crawl that may fetch no more."""
+    works = fx.works(spark, sf_dir)
+    last = works.agg(F.max("n").alias("last"))
+    seeds = works.crossJoin(F.broadcast(last)).where("n >= last - 2").select("id")  # one row
+    return crawl.snowball(works, fx.citations(spark, sf_dir), seeds, new_folder(spark, "crawl"), hops=3, start=1985, most=40)
+
+
 # Recovery
 
 REFS = "refs AS (SELECT 'W' || n AS source, CASE WHEN n % 4 = 0 THEN CAST(n // 2 AS VARCHAR) END AS ref_id, t.title || '.' AS ref_title, CASE WHEN n % 5 > 0 THEN t.year + n % 3 END AS ref_year FROM works s JOIN (SELECT n // 1 AS tn, title, year FROM works) t ON t.tn = s.n // 3 WHERE s.n % 2 = 0)"
@@ -411,27 +431,17 @@ def path_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(walks.path_weight(g.lineage, g.reached), "score")
 
 
-def _pagerank_chain(rounds: int) -> list[str]:
-    out = [
-        "degree AS MATERIALIZED (SELECT source AS id, count(*) AS d FROM lineage GROUP BY source)",
-        "p0 AS MATERIALIZED (SELECT id, CASE WHEN id = (SELECT origin FROM newest) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM reached)",
-    ]
-    for k in range(1, rounds + 1):
-        p = f"p{k - 1}"
-        out.append(f"p{k} AS MATERIALIZED (SELECT r.id, 0.85::DOUBLE * coalesce(g.got, 0) + CASE WHEN r.id = (SELECT origin FROM newest) THEN 1 - 0.85::DOUBLE + 0.85::DOUBLE * coalesce((SELECT sum(r) FROM {p} WHERE id NOT IN (SELECT id FROM degree)), 0) ELSE 0 END AS r FROM reached r LEFT JOIN (SELECT l.target, sum(q.r / d.d) AS got FROM lineage l JOIN {p} q ON q.id = l.source JOIN degree d ON d.id = l.source GROUP BY l.target) g ON g.target = r.id)")
-    return out
+PASSED = "passed AS MATERIALIZED (SELECT source, target, 0.85::DOUBLE / count(*) OVER (PARTITION BY source) AS w FROM lineage)"
+PAGERANK = (*CYCLIC, PASSED, *_mass("passed", "e.w"), "masses AS (SELECT r.id, coalesce(m.mass, 0) + CASE WHEN r.id = (SELECT origin FROM newest) THEN 1 ELSE 0 END AS mass FROM reached r LEFT JOIN moved m ON m.id = r.id)", "ranks AS (SELECT id, mass / (SELECT sum(mass) FROM masses) AS r FROM masses)")
 
 
-PAGERANK = (*CYCLIC, *_pagerank_chain(12))
-
-
-@query(_with(*PAGERANK, recursive=True) + "SELECT (SELECT origin FROM newest) AS origin, id, round(r, 6) AS score FROM p12 WHERE id <> (SELECT origin FROM newest)")
-def ppr_fixed_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_with(*PAGERANK, recursive=True) + "SELECT (SELECT origin FROM newest) AS origin, id, round(r, 6) AS score FROM ranks WHERE id <> (SELECT origin FROM newest)")
+def ppr_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Lineage(spark, sf_dir, cyclic=True)
     return _rounded(walks.pagerank(g.lineage, g.reached), "score")
 
 
-@query(_with(*PAGERANK, recursive=True) + f"SELECT (SELECT origin FROM newest) AS origin, p.id, round(p.r * {AGED}, 6) AS score FROM p12 p JOIN works w ON w.id = p.id WHERE p.id <> (SELECT origin FROM newest)")
+@query(_with(*PAGERANK, recursive=True) + f"SELECT (SELECT origin FROM newest) AS origin, p.id, round(p.r * {AGED}, 6) AS score FROM ranks p JOIN works w ON w.id = p.id WHERE p.id <> (SELECT origin FROM newest)")
 def ppr_time_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Lineage(spark, sf_dir, cyclic=True)
     return _rounded(walks.aged(walks.pagerank(g.lineage, g.reached), g.years, 10.0), "score")
@@ -514,7 +524,7 @@ def upstream_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _with(*PAGERANK, IN_DEGREE, "best AS (SELECT id FROM scores ORDER BY score DESC, id LIMIT 10)", "other AS (SELECT id FROM p12 WHERE id <> (SELECT origin FROM newest) ORDER BY round(r, 6) DESC, id LIMIT 10)", recursive=True)
+    _with(*PAGERANK, IN_DEGREE, "best AS (SELECT id FROM scores ORDER BY score DESC, id LIMIT 10)", "other AS (SELECT id FROM ranks WHERE id <> (SELECT origin FROM newest) ORDER BY round(r, 6) DESC, id LIMIT 10)", recursive=True)
     + "SELECT (SELECT origin FROM newest) AS origin, round((SELECT count(*) FROM best WHERE id IN (SELECT id FROM other)) / 10.0::DOUBLE, 6) AS overlap"
 )
 def baseline_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,6 +534,29 @@ def baseline_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(walks.overlap(left, right), "overlap")
 
 
+@query(
+    _with(
+        *DAG,
+        "counts AS (SELECT r.id, CAST(count(l.source) AS DOUBLE) AS score FROM reached r LEFT JOIN lineage l ON l.target = r.id GROUP BY r.id)",
+        "avoided(w, id) AS (SELECT r.id, n.origin FROM reached r, newest n WHERE r.id <> n.origin UNION SELECT a.w, l.target FROM avoided a JOIN lineage l ON l.source = a.id WHERE l.target <> a.w)",
+        *_mass("lineage", "0.5"),
+        PASSED,
+        *_mass("passed", "e.w", "q"),
+        "masses AS (SELECT r.id, coalesce(m.mass, 0) + CASE WHEN r.id = (SELECT origin FROM newest) THEN 1 ELSE 0 END AS mass FROM reached r LEFT JOIN movedq m ON m.id = r.id)",
+        recursive=True,
+    )
+    + f"""SELECT scorer, (SELECT origin FROM newest) AS origin, id, round(score, 6) AS score FROM (
+  SELECT 'in_degree' AS scorer, id, score FROM counts
+  UNION ALL SELECT 'gateway', w, CAST((SELECT count(*) FROM reached) - 1 - count(*) AS DOUBLE) FROM avoided GROUP BY w
+  UNION ALL SELECT 'path_weight', r.id, coalesce(m.mass, 0) FROM reached r LEFT JOIN moved m ON m.id = r.id
+  UNION ALL SELECT 'time_decayed_pagerank', p.id, p.mass / (SELECT sum(mass) FROM masses) * {AGED} FROM masses p JOIN works w ON w.id = p.id)
+WHERE id <> (SELECT origin FROM newest)"""
+)
+def all_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Lineage(spark, sf_dir)
+    return _rounded(ranking.baselines(g.lineage, g.reached, g.years, g.lineage), "score")
+
+
 @query(_with(fx.BASE) + "SELECT source, target FROM edges WHERE CAST('0x' || substr(md5('7|' || source || '|' || target), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE >= 0.1")
 def edge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.thinned(fx.citations(spark, sf_dir), 0.1, "7")
@@ -581,6 +614,15 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(temporal.features(works, edges.where("split IN ('train', 'undated')")), "year_scaled", "log_in", "log_out", "log_authors")
 
 
+@query(
+    _with(fx.BASE)
+    + """SELECT w.id, round(coalesce((w.year - (SELECT min(year) FROM works)) / (SELECT greatest(max(year) - min(year), 1) FROM works), 0), 6) AS year_scaled, CASE WHEN w.year IS NULL THEN 0 ELSE 1 END AS dated,
+  round(ln(1 + (SELECT count(*) FROM edges WHERE target = w.id)), 6) AS log_in, round(ln(1 + (SELECT count(*) FROM edges WHERE source = w.id)), 6) AS log_out, round(ln(1 + len(authors)), 6) AS log_authors FROM works w"""
+)
+def full_record_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(temporal.features(fx.works(spark, sf_dir), fx.citations(spark, sf_dir)), "year_scaled", "log_in", "log_out", "log_authors")
+
+
 def _negatives(matched: bool, per: int, positives: str = "SELECT source, target, sy, ty FROM splits WHERE split = 'test'") -> str:
     low = "(SELECT count(*) FROM ranked r WHERE r.year < p.ty)" if matched else "0"
     high = f"(SELECT count(*) FROM ranked r WHERE r.year <= p.{'ty' if matched else 'sy'})"
@@ -639,13 +681,14 @@ SCORED = (
     "facts AS MATERIALIZED (SELECT p.*, CAST(t.year - s.year AS DOUBLE) AS recency, CAST(coalesce(d.d, 0) AS DOUBLE) AS in_degree FROM pool p JOIN works s ON s.id = p.source JOIN works t ON t.id = p.target LEFT JOIN degree d ON d.id = p.target)",
     "scored AS MATERIALIZED (SELECT 'recency' AS scorer, source, cited, candidate, target, label, recency AS score FROM facts UNION ALL SELECT 'in_degree', source, cited, candidate, target, label, in_degree FROM facts)",
 )
-POOL = (fx.BASE, *CUTS, _negatives(False, 5), *SCORED)
+PER = 100
+POOL = (fx.BASE, *CUTS, _negatives(False, PER), *SCORED)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     works, edges = _split(spark, sf_dir)
     test = edges.where("split = 'test'")
-    drawn = temporal.negatives(test, works, edges, per=5)
+    drawn = temporal.negatives(test, works, edges, per=PER)
     pool = test.select("source", F.col("target").alias("cited"), F.lit(0).alias("candidate"), "target", F.lit(1).alias("label")).unionByName(drawn.withColumn("label", F.lit(0)))
     years = temporal.dated(pool.select("source", "target").distinct(), works)
     degree = edges.where("split <> 'test'").groupBy("target").agg(F.count("*").alias("d"))
@@ -699,6 +742,30 @@ def ndcg_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.recall_ndcg(best, gold), "recall", "ndcg")
 
 
+TARGETS = "SELECT doc_id AS origin, CASE WHEN lang = 'en' THEN 'dev' ELSE 'test' END AS split, source AS scorer, CAST(doc_id % 5 + 1 AS BIGINT) AS originators, CAST(doc_id % 5 AS BIGINT) AS reachable, CAST(doc_id % 3 AS BIGINT) AS found, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 11) / CAST(10 AS DOUBLE) END AS recall, CASE WHEN doc_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE (doc_id % 13) / CAST(12 AS DOUBLE) END AS ndcg, (doc_id % 9) / CAST(8 AS DOUBLE) AS dropout_overlap, CAST(NULL AS DOUBLE) AS seed_overlap FROM documents"
+
+
+@query(
+    f"WITH targets AS ({TARGETS}) SELECT split, scorer, count(*) AS targets, CAST(sum(originators) AS BIGINT) AS originators, CAST(sum(reachable) AS BIGINT) AS reachable, CAST(sum(found) AS BIGINT) AS found, round(avg(recall), 6) AS recall, "
+    "round(avg(CASE WHEN isnan(ndcg) THEN NULL ELSE ndcg END), 6) AS ndcg, round(avg(dropout_overlap), 6) AS dropout_overlap, avg(seed_overlap) AS seed_overlap FROM targets GROUP BY split, scorer"
+)
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.documents(spark, sf_dir).createOrReplaceTempView("summary_documents")
+    targets = spark.sql(TARGETS.replace("FROM documents", "FROM summary_documents"))
+    return _rounded(ranking.split_summary(targets), "recall", "ndcg", "dropout_overlap")
+
+
+@query()
+def gold_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scorers on two targets whose known originators are their works with a number divisible by 9."""
+    works, edges = fx.works(spark, sf_dir), fx.citations(spark, sf_dir)
+    origins = checkpointed(works.orderBy(F.col("n").desc()).limit(2).select(F.col("id").alias("origin")))
+    some = checkpointed(walks.reach(edges, origins)).where("depth > 0").where(F.substring("id", 2, 20).cast("long") % 9 == 0)
+    place = F.row_number().over(W.partitionBy("origin").orderBy("id")) - 1
+    gold = checkpointed(some.select("origin", F.lit("dev").alias("split"), place.cast("long").alias("work"), F.array("id").alias("ids")))
+    return ranking.split_summary(ranking.assess(edges, works.select("id", "year"), gold))
+
+
 # Narratives
 
 CLAIMS = "claims AS (SELECT conv_id AS origin, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS claim, 'S' || (turn % 4) AS id, text FROM conversations)"
@@ -734,6 +801,21 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narrative.prompts(narrative.sources(walks.in_degree(g.lineage, g.reached), g.works), g.works)
 
 
+@query("SELECT conv_id AS origin, CAST(count(*) AS BIGINT) AS turns, max_by(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a scripted model, which breaks off in the middle until it is told of the form."""
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").alias("origin")).agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("last_role"))
+    talk = checkpointed(talk)
+
+    def ask(told: DataFrame) -> DataFrame:
+        whole = F.to_json(F.struct("turns", "last_role"))
+        broken = (F.xxhash64("origin") % 3 == 0) & ~F.contains("prompt", F.lit("does not fit the schema"))
+        return told.join(talk, "origin").select("origin", F.when(broken, F.substring(whole, 1, 9)).otherwise(whole).alias("text"))
+
+    form = StructType([StructField("turns", LongType()), StructField("last_role", StringType())])
+    return answers.structured(talk.select("origin", F.lit("How many turns, and who has the last?").alias("prompt")), form, ask).select("origin", "answer.*")
+
+
 @query()
 def narrative_scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Lineage(spark, sf_dir)

@@ -1,16 +1,32 @@
-"""Cutting lineage between rounds of an iterative plan."""
+"""The folder that driver and executors share, and cutting lineage between rounds of an iterative plan."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its rows in the session's checkpoint folder, or in one of our own where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, or where its context has checkpoints set; one
+    of our own only in local mode, where driver and executors are one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="ancestra-")
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ancestra-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its rows in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

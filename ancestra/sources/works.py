@@ -6,9 +6,11 @@ import functools
 import operator
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ancestra.functions import text
+from ancestra.plans.storage import checkpointed
 
 PAYLOAD = (
     "id string, title string, display_name string, publication_year int, publication_date string, cited_by_count long, referenced_works array<string>, "
@@ -51,3 +53,20 @@ def citing(works: DataFrame, work_id: str, **bounds) -> DataFrame:
 def referenced(works: DataFrame, work_id: str) -> DataFrame:
     ids = works.where(F.col("id") == work_id).select(F.explode("referenced_works").alias("id")).distinct()
     return works.join(ids, "id", "left_semi")
+
+
+def work(works: DataFrame, work_id: str) -> DataFrame:
+    """The record of one id, if there is one."""
+    return works.where(F.col("id") == work_id).limit(1)
+
+
+def chunks(ids: DataFrame, size: int) -> DataFrame:
+    """id and chunk: ids in order, so many to a chunk, the last one shorter.
+
+    Ids are numbered by ranges: each partition holds a range, and begins where the
+    counts of those before it end."""
+    ranged = checkpointed(ids.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    starts = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("start"))  # a row a partition
+    place = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(starts), "part").select("id", F.floor((F.col("start") + F.col("place")) / size).alias("chunk"))
