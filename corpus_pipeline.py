@@ -3,6 +3,14 @@
 Quality rules drop documents, of near duplicates one stays, secrets are masked,
 sources are mixed to their target weights, and what is left is packed. Each
 stage works on all rows of the one before it, written as Parquet in between.
+
+Defined cases, by stage: a document with a null or empty text, or of fewer than ten
+words, fails the base rules and goes at once; of rows equal in doc_id and text one
+stays, the least in all columns, and of a group of near copies the one with the
+least doc_id, null last; texts of any length are searched and packed whole; a null
+source is a source of its own, the last; a null doc_id stays null; an empty table
+gives an empty result. All columns of documents pass to the last stage, also those
+whose names an operator uses itself.
 """
 
 from __future__ import annotations
