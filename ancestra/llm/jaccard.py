@@ -8,7 +8,8 @@ these n-grams are the keys by which candidates meet, and a passage of many
 documents is a key only of those that consist of such passages.
 
 Sets that hold the same key are first compared with one of them, the head, and
-those that link are one component. Sets of one key whose sizes are too far apart are parted at once. Only groups whose
+those that link are one component. Sets of one key that by their sizes and its places in them cannot link are parted at
+once. Only groups whose
 sets are in several components after that are looked at again: parity sketches of their sets are
 compared in blocks (each n-gram flips one bit of its set's, so two sketches
 differ in no more bits than the sets in n-grams), and pairs of different
@@ -40,11 +41,12 @@ from pyspark.sql import functions as F
 
 from ancestra.llm import places, scan
 from ancestra.llm.graph import components
+from ancestra.llm.joins import looked_up
 from ancestra.llm.storage import checkpointed, free_name
 
 #: N-grams in the table of common ones at most, and in a count within a task.
 COMMON = 1 << 17
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 
 #: Sets of one batch that share a key from which on only one of them is dealt by it.
 FOLLOWERS = 64
@@ -65,7 +67,7 @@ FRAGMENT = 1 << 15
 FEW = 500_000
 
 #: Pairs of two components that a task names at first, and the factor by which they grow each round.
-FIRST_PAIRS, PAIRS = 4, 16
+FIRST_PAIRS, PAIRS = 64, 16
 
 def sets(texts: scan.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each document in ascending order, and their bounds."""
@@ -181,11 +183,13 @@ def common_grams(seen: DataFrame) -> np.ndarray:
     return np.stack([grams[ascending], place[ascending]])
 
 
-_KEYS = "gram long, node long, n long, head long, head_n long, many boolean"
+_KEYS = "gram long, node long, n long, head long, head_n long, many boolean, largest long"
 
 
 def _keys(size: int, percent: int, common: np.ndarray):
-    """Keys of a batch's sets. Where FOLLOWERS or more share one, the least is its head in
+    """Keys of a batch's sets. What comes before a key in a set is not shared by two sets
+    of which it is the first shared one, so the key's place bounds the overlap, and thereby
+    the size of the other set (largest), which may link and has this as first. Where FOLLOWERS or more share one, the least is its head in
     this batch and only the head is dealt by key (many: whether others follow)."""
     names = [f.split()[0] for f in _KEYS.split(", ")]
 
@@ -196,18 +200,18 @@ def _keys(size: int, percent: int, common: np.ndarray):
                 hashes, bounds = sets(texts, size)
                 n, node = np.diff(bounds), _nodes(hashes, bounds)
                 doc, at = key_places(hashes, bounds, percent, common)
-                parts.append((hashes[at] >> places.SHORT, node[doc], n[doc]))
+                left = n[doc] - (np.arange(len(doc)) - np.searchsorted(doc, doc))
+                parts.append((hashes[at] >> places.SHORT, node[doc], n[doc], left * (100 + percent) // percent - n[doc]))
             if not parts:
                 continue
-            gram, node, n = (np.concatenate(x) for x in zip(*parts))
+            gram, node, n, largest = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((node, gram))
-            gram, node, n = gram[order], node[order], n[order]
-            first = places.groups(gram, node)
-            gram, node, n = gram[first], node[first], n[first]
+            first = order[places.groups(gram[order], node[order])]
+            gram, node, n, largest = gram[first], node[first], n[first], largest[first]
             starts = places.groups(gram)
             count = np.diff(np.append(starts, len(gram)))
             many = np.repeat(count >= FOLLOWERS, count)
-            columns = [gram.view(np.int64), node, n, np.where(many, np.repeat(node[starts], count), node), np.where(many, np.repeat(n[starts], count), n), many]
+            columns = [gram.view(np.int64), node, n, np.where(many, np.repeat(node[starts], count), node), np.where(many, np.repeat(n[starts], count), n), many, largest]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
 
     return keys
@@ -216,24 +220,26 @@ def _keys(size: int, percent: int, common: np.ndarray):
 _MEETING = "gram long, node long, n long, head long, head_n long"
 
 
-def _meeting(percent: int):
+def _meeting():
     """Rows come sorted by key and size.
 
-    Sets of one key whose sizes are too far apart for links are parted: where the next
-    size is out of reach, another group begins, and a set alone in its group is left
-    out. The least set of a group is its head. A key with followers stays one group,
-    and followers stay as they are."""
+    Where a set is larger than all sets before it of the same key allow for, another
+    group begins, and a set alone in its group is left out. The least set of a group is
+    its head. A key with followers stays one group, and followers stay as they are."""
     names = [f.split()[0] for f in _MEETING.split(", ")]
 
     def met(columns: list[np.ndarray]) -> pa.RecordBatch:
         follows = columns[1] != columns[3]
-        rest = [c[follows] for c in columns]
-        gram, node, n, _, _, many = (c[~follows] for c in columns)
+        rest = [c[follows] for c in columns[:5]]
+        gram, node, n, _, _, many, largest = (c[~follows] for c in columns)
         starts = places.groups(gram)
         if len(starts):
-            whole = np.repeat(np.logical_or.reduceat(many, starts), np.diff(np.append(starts, len(gram))))
+            count = np.diff(np.append(starts, len(gram)))
+            whole = np.repeat(np.logical_or.reduceat(many, starts), count)
+            key = np.repeat(np.arange(len(starts)), count) << 40
+            reach = np.maximum.accumulate(key + np.maximum(largest, 0)) - key
             new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (~whole[1:] & (percent * n[1:] > 100 * n[:-1]))
+            new[1:] = (gram[1:] != gram[:-1]) | (~whole[1:] & (n[1:] > reach[:-1]))
             starts = np.flatnonzero(new)
             count = np.diff(np.append(starts, len(gram)))
             with np.errstate(over="ignore"):
@@ -271,7 +277,7 @@ def meeting(text: DataFrame, size: int, percent: int, common: np.ndarray) -> Dat
     """(gram, node, n, head, head_n) of sets that share a key with another one."""
     keys = text.mapInArrow(_keys(size, percent, common), _KEYS)
     follower = F.when(F.col("node") == F.col("head"), F.xxhash64("gram")).otherwise(F.xxhash64("gram", "node"))
-    return keys.repartition(follower).sortWithinPartitions("gram", "n").mapInArrow(_meeting(percent), _MEETING)
+    return keys.repartition(follower).sortWithinPartitions("gram", "n").mapInArrow(_meeting(), _MEETING)
 
 
 def _of_texts(size: int, column: str, made):
@@ -509,10 +515,10 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     at = roots.select(F.col("node").alias("end"), F.col("root").alias("top"))
     for side in ("a", "b"):
         links = links.join(at, F.col(side) == F.col("end"), "left").select(*({"a", "b"} - {side}), F.coalesce("top", side).alias(side))
-    tops = components(links.select("a", "b")).withColumnsRenamed({"node": "old", "root": "new"})
-    tops = checkpointed(tops)
-    moved = roots.join(tops, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
-    others = tops.join(roots.select("node"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    tops = checkpointed(components(links.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("new")))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).join(tops, "root", "left").select("root", F.coalesce("new", "root").alias("new"), "n")
+    moved = looked_up(roots, sizes, "root", roots.count()).select("node", F.col("new").alias("root"))
+    others = tops.join(roots.select("node"), F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))
     return checkpointed(moved.union(others))
 
 
@@ -522,7 +528,8 @@ def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     seen = checkpointed(text.mapInArrow(_surveyed(size), _SEEN))
     rows = seen.where("gram is null").drop("gram", "times")
     met = checkpointed(meeting(text, size, percent, common_grams(seen)))
-    keys = checkpointed(rows.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key")))
+    worded = rows.where("n_shingles > 0")
+    keys = checkpointed(worded.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     corpus = Corpus(text, keys, size, percent)
     sketches = corpus.of(met.select("node"), "sketch")
     near_size = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
@@ -540,8 +547,9 @@ def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
             break
         met = checkpointed(met.join(again, "gram", "left_semi"))
         most *= PAIRS
-    joined = rows.join(roots, "node", "left")
-    return joined.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("root"))
+    rooted = keys.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
+    found = looked_up(worded, rooted, "node", rows.count()).select("key", "doc_id", "n_shingles", "root")
+    return found.union(rows.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.lit(None).cast("long")))
 
 
 def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -549,9 +557,10 @@ def linked(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
     rows = checkpointed(linked_rows(docs, size, percent))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(least, "root", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    worded = rows.where("root is not null")
+    least = worded.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    found = looked_up(worded, least, "root", rows.count()).select("doc_id", "n_shingles", "component_id")
+    return found.union(rows.where("root is null").select("doc_id", "n_shingles", F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
