@@ -40,9 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ancestra.llm import places, scan
-from ancestra.llm.graph import components
-from ancestra.llm.joins import looked_up
 from ancestra.llm.storage import checkpointed, free_name
+from ancestra.operators.joins import components, looked_up
 
 #: N-grams in the table of common ones at most, and in a count within a task.
 COMMON = 1 << 17

@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ancestra.llm.joins import looked_up
 from ancestra.llm.storage import checkpointed
+from ancestra.operators.joins import looked_up
 
 KINDS = ("email", "ip", "card", "phone")
 

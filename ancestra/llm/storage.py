@@ -1,43 +1,15 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and the table of documents."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ancestra.operators.joins import free_name
+from ancestra.plans.storage import checkpointed, new_folder, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or where its context has checkpoints set; one
-    of our own only in local mode, where driver and executors are one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="ancestra-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, its rows in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
+__all__ = ["checkpointed", "documents", "free_name", "new_path", "shared_folder"]
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have, in any case."""
-    taken = {c.lower() for c in docs.columns}
-    name = f"__{name}"
-    while name.lower() in taken:
-        name += "_"
-    return name
+new_path = new_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,9 +180,11 @@ def _segments(texts: scan.Texts, length: int, gram: int) -> tuple[np.ndarray, ..
     at = scan.windows(texts.bounds, gram)
     hashes = scan.run_hash(prefix, at, at + gram, 0)
     marked = np.full(len(texts.data), _MAX, np.uint64)
-    marked[at] = hashes >> _PLACE << _PLACE | at.astype(np.uint64)
+    low = (1 << int(_PLACE)) - 1
+    marked[at] = hashes >> _PLACE << _PLACE | (at & low).astype(np.uint64)
     windows = scan.windows(texts.bounds, length)
-    place = (_least(marked, length - gram + 1)[windows] & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
+    place = (_least(marked, length - gram + 1)[windows] & np.uint64(low)).astype(np.int64)
+    place = windows + ((place - windows) & low)  # within the window, also in texts of more than 2 ** 28 bytes
     full = np.zeros(len(texts.data), np.uint64)
     full[at] = hashes
     least = full[place]

@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
-from ancestra.llm import graph, jaccard, joins
+from ancestra.llm import jaccard
+from ancestra.operators import joins
 from tests.llm.conftest import PROSE, WORD
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -81,10 +83,21 @@ def test_several_blocks(spark, monkeypatch):
     check(near_copies(spark, seed=2))
 
 
-def test_fragments_are_summed_by_pair(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FRAGMENT", 1 << 4)
-    monkeypatch.setattr(jaccard, "COMMON", 8)
-    check(near_copies(spark, seed=3), 5, 80)
+def test_fragments_are_summed_by_pair(monkeypatch):
+    """Sets cut at the same places of the order: overlaps of the fragments add up to those of the sets."""
+    monkeypatch.setattr(jaccard, "FRAGMENT", 100)
+    rng = np.random.default_rng(3)
+    sets = {k: np.unique(rng.integers(0, 2**63, 900).astype(np.uint64) >> np.uint64(51) << np.uint64(51)) for k in range(1, 6)}
+    rows = [(1, 0, k, len(v), v.astype("<u8").tobytes(), len(sets[1])) for k, v in sets.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["a", "salt", "node", "n", "value", "a_n"])
+    cut = next(jaccard._cut(iter([batch])))
+    assert len(set(cut.column(2).to_pylist())) == -(-len(sets[1]) // 100) > 5
+    order = sorted(range(cut.num_rows), key=lambda i: tuple(cut.column(k)[i].as_py() for k in range(3)))
+    shared = {}
+    for out in jaccard._overlapped(iter([cut.take(order)])):
+        for a, _, b, _, n in zip(*(c.to_pylist() for c in out.columns)):
+            shared[a, b] = shared.get((a, b), 0) + n
+    assert shared == {(1, k): len(np.intersect1d(sets[1], sets[k])) for k in range(2, 6)} and min(shared.values()) > 0
 
 
 def test_a_passage_in_all_documents(spark):
@@ -171,7 +184,7 @@ def test_components(spark, monkeypatch):
     alone = {x for x in label if all(a == b for a, b in edges if x in (a, b))}
     for most in (joins.ROWS, 10):
         monkeypatch.setattr(joins, "ROWS", most)
-        got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        got = joins.components(spark.createDataFrame(edges, "a long, b long")).collect()
         assert len(got) == len({r.node for r in got})
         assert {r.node: r.root for r in got} == {x: r for x, r in label.items() if x not in alone}
 

@@ -93,6 +93,15 @@ def test_bytes_other_sizes(spark, monkeypatch):
     check_bytes(table, 12, gram=12)
 
 
+def test_places_in_texts_beyond_their_bits(monkeypatch):
+    """Places are kept by their low bits, which tell them within a window."""
+    raw = np.random.default_rng(4).integers(97, 100, 5000).astype(np.uint8)
+    texts = scan.Texts(0, raw, np.array([0, 3000, 5000]))
+    whole = suffix._segments(texts, 100, 32)
+    monkeypatch.setattr(suffix, "_PLACE", np.uint64(8))
+    assert all((a == b).all() for a, b in zip(whole, suffix._segments(texts, 100, 32)))
+
+
 @pytest.mark.parametrize("size,letters", [(0, 2), (1, 2), (60, 2), (400, 3), (2000, 2), (2000, 200)])
 def test_two_stage_sort(size, letters):
     text = np.random.default_rng(size + letters).integers(0, letters, size).astype(np.uint8)
