@@ -258,9 +258,10 @@ def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.raw_works(spark, sf_dir).select("id", "ord", text.first_author_key(F.col("authors")).alias("key"))
 
 
-@query(_with(fx.BASE, fx.RAW) + "SELECT id, title, year, topic FROM works UNION ALL SELECT id, NULL, NULL, NULL FROM (SELECT source AS id FROM raw_edges UNION SELECT target FROM raw_edges) WHERE id NOT IN (SELECT id FROM works)")
+@query(_with(fx.BASE, fx.RAW) + "SELECT id, coalesce(title, '') AS title, coalesce(year, -1) AS year, topic FROM works UNION ALL SELECT id, '', -1, '' FROM (SELECT source AS id FROM raw_edges UNION SELECT target FROM raw_edges) WHERE id NOT IN (SELECT id FROM works)")
 def graph_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.attributed(fx.works(spark, sf_dir), fx.raw_citations(spark, sf_dir), ("title", "year", "topic"))
+    graph = fields.attributed(fx.works(spark, sf_dir), fx.raw_citations(spark, sf_dir), ("title", "year", "topic"))
+    return graph.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("year", F.lit(-1)).alias("year"), F.coalesce("topic", F.lit("")).alias("topic"))
 
 
 @query()
