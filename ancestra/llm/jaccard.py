@@ -1,8 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
 N-grams have one global order: rare ones by their hashes, then the common ones,
-rarest first. Common are those that make up 1 / COMMON of all n-grams of all
-documents at least, so they are COMMON at most, whatever the size of the corpus.
+rarest first. What is common is counted over all documents: each of CELLS cells of
+hashes counts the n-grams that would be keys if hashes alone gave the order, and
+those of a cell with more than CROWD, and LOAD times the mean, are common. So there
+are CELLS / LOAD such cells at most, whatever the size of the corpus.
 Sets that link share an n-gram among the first few of each in that order, so
 these n-grams are the keys by which candidates meet, and a passage of many
 documents is a key only of those that consist of such passages.
@@ -30,6 +32,7 @@ bits. Texts are read again where their sets are needed, and must be the same eac
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -43,8 +46,11 @@ from ancestra.llm import places, scan
 from ancestra.llm.storage import checkpointed, free_name
 from ancestra.operators.joins import components, looked_up
 
-#: N-grams in the table of common ones at most, and in a count within a task.
-COMMON = 1 << 17
+#: Cells of hashes, those that are summed in one row, and when a cell is crowded.
+CELLS, PIECE = 1 << 22, 1 << 16
+CROWD, LOAD = 256, 8
+
+#: Cells that a task holds before it counts them.
 COUNTED = 1 << 20
 
 #: Sets of one batch that share a key from which on only one of them is dealt by it.
@@ -54,7 +60,7 @@ FOLLOWERS = 64
 GROUP, HEADS = 512, 1 << 16
 
 #: Sketches in a block at most, and their bytes.
-BLOCK, BLOCK_BYTES = 4096, 1 << 26
+BLOCK, BLOCK_BYTES = 4096, 1 << 24
 
 #: Bits of a sketch for each n-gram by which linked sets may differ, and at least.
 SKETCH_BITS, LEAST_BITS = 8, 512
@@ -97,22 +103,25 @@ def differ(n: np.ndarray, percent: int) -> np.ndarray:
     return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
 
 
-def key_places(hashes: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, place in hashes) of the n-grams by which sets that may link meet.
+def key_count(n: np.ndarray, percent: int) -> np.ndarray:
+    """N-grams by which a set of n meets those that it may link with.
+
+    Linked sets share percent of either at least, so the first n-grams up to one more
+    than the others."""
+    return n - -(-percent * n // 100) + 1
+
 
-    Linked sets share percent of either at least, so of each the first n-grams of
-    the order up to one more than the others. common: the common n-grams' hashes,
-    ascending, in the first row, and their places in the order in the second."""
+def key_places(hashes: np.ndarray, bounds: np.ndarray, percent: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place in hashes) of the n-grams by which sets that may link meet, in order.
+
+    classes: of each cell 0 if it is not crowded, else the more the more crowded."""
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    rank = np.zeros(len(hashes), np.int64)
-    if common.shape[1] and len(hashes):
-        at = np.minimum(np.searchsorted(common[0], hashes), common.shape[1] - 1)
-        hit = common[0][at] == hashes
-        rank[hit] = 1 + common[1][at[hit]].astype(np.int64)
-    order = np.lexsort((hashes, rank, doc)) if rank.any() else np.arange(len(hashes))
-    first = n - -(-percent * n // 100) + 1
-    use = np.arange(len(hashes)) - bounds[:-1][doc] < first[doc]
+    order = np.arange(len(hashes))
+    if classes is not None:
+        rank = classes[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
+        order = np.lexsort((hashes, rank, doc)) if rank.any() else order
+    use = np.arange(len(hashes)) - bounds[:-1][doc] < key_count(n, percent)[doc]
     return doc[use], order[use]
 
 
@@ -138,67 +147,85 @@ def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return scan.run_hash(scan.prefix_hash(hashes, 6), bounds[:-1], bounds[1:], 6).view(np.int64)
 
 
-_SEEN = "key long, doc_id long, n_shingles long, node long, gram long, times long"
-
+_SEEN = "key long, doc_id long, n_shingles long, node long, piece int, counts binary"
 
-def _surveyed(size: int):
-    """A row for each document, and rows (gram, times) of n-grams that are many in a part."""
-    names = [f.split()[0] for f in _SEEN.split(", ")]
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        grams, times = np.unique(np.concatenate(held), return_counts=True)
-        many = times >= max(2, times.sum() // (2 * COMMON))
-        none = pa.nulls(int(many.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(grams[many].view(np.int64)), pa.array(times[many])], names)
+def _surveyed(size: int, percent: int):
+    """A row for each document, and at the end of a part rows (piece, counts) of its cells."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.uint32)
         held: list[np.ndarray] = []
+
+        def count() -> None:
+            nonlocal held
+            cells, times = np.unique(np.concatenate(held), return_counts=True) if held else ([], [])
+            counts[cells] += np.asarray(times, np.uint32)
+            held = []
+
         for batch in batches:
             for texts in scan.blocks(batch.column(2)):
                 hashes, bounds = sets(texts, size)
                 columns = [batch.column(k).slice(texts.first, texts.n) for k in (0, 1)]
-                none = pa.nulls(texts.n, pa.int64())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(_nodes(hashes, bounds)), none, none], names)
-                held.append(hashes)
+                none = [pa.nulls(texts.n, kind) for kind in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(_nodes(hashes, bounds)), *none], schema=schema)
+                held.append((hashes[key_places(hashes, bounds, percent)[1]] & np.uint64(CELLS - 1)).astype(np.int64))
                 if sum(map(len, held)) >= COUNTED:
-                    yield counted(held)
-                    held = []
-        if held:
-            yield counted(held)
+                    count()
+        count()
+        pieces = [(k, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(counts.reshape(-1, PIECE)) if part.any()]
+        if pieces:
+            none = [pa.nulls(len(pieces), pa.int64()) for _ in range(4)]
+            yield pa.RecordBatch.from_arrays([*none, *(pa.array(list(c), kind) for c, kind in zip(zip(*pieces), (pa.int32(), pa.binary())))], schema=schema)
 
     return surveyed
 
 
-def common_grams(seen: DataFrame) -> np.ndarray:
-    """Hashes of the common n-grams, ascending, and their places in the order: COMMON columns at most."""
-    total = seen.agg(F.sum("n_shingles")).first()[0] or 0
-    times = seen.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
-    rows = times.where(F.col("times") >= max(4, -(-total // COMMON))).collect()
-    grams = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.lexsort((grams, np.array([r[1] for r in rows], np.int64)))
-    place = np.empty(len(rows), np.uint64)
-    place[order] = np.arange(len(rows))
-    ascending = np.argsort(grams)
-    return np.stack([grams[ascending], place[ascending]])
+def _crowded(least: int):
+    """Cells with least or more, and their classes; rows come sorted by piece."""
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_task(batches, 1):
+            total = np.zeros(PIECE, np.int64)
+            for _, raw in rows:
+                total += np.frombuffer(zlib.decompress(raw), np.uint32)
+            cell = np.flatnonzero(total >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(cell + rows[0][0] * PIECE), pa.array(1 + np.log2(total[cell] / least).astype(np.int64))], ["cell", "class"])
+
+    return crowded
+
+
+def crowded_cells(seen: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The crowded cells and their classes, CELLS / LOAD at most."""
+    n = F.col("n_shingles")
+    total = seen.where("n_shingles > 0").agg(F.sum(n - F.ceil(n * percent / 100) + 1)).first()[0] or 0
+    least = max(CROWD, -(-total * LOAD // CELLS))
+    pieces = seen.where("piece is not null").select("piece", "counts")
+    rows = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_crowded(least), "cell long, class long").toPandas()
+    return rows["cell"].to_numpy(np.int64), np.minimum(rows["class"].to_numpy(np.int64), 255).astype(np.uint8)
 
 
 _KEYS = "gram long, node long, n long, head long, head_n long, many boolean, largest long"
 
 
-def _keys(size: int, percent: int, common: np.ndarray):
+def _keys(size: int, percent: int, crowded: tuple[np.ndarray, np.ndarray]):
     """Keys of a batch's sets. What comes before a key in a set is not shared by two sets
     of which it is the first shared one, so the key's place bounds the overlap, and thereby
     the size of the other set (largest), which may link and has this as first. Where FOLLOWERS or more share one, the least is its head in
     this batch and only the head is dealt by key (many: whether others follow)."""
     names = [f.split()[0] for f in _KEYS.split(", ")]
+    cells, class_of = crowded
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = np.zeros(CELLS, np.uint8)
+        classes[cells] = class_of
         for batch in batches:
             parts = []
             for texts in scan.blocks(batch.column(2)):
                 hashes, bounds = sets(texts, size)
                 n, node = np.diff(bounds), _nodes(hashes, bounds)
-                doc, at = key_places(hashes, bounds, percent, common)
+                doc, at = key_places(hashes, bounds, percent, classes)
                 left = n[doc] - (np.arange(len(doc)) - np.searchsorted(doc, doc))
                 parts.append((hashes[at] >> places.SHORT, node[doc], n[doc], left * (100 + percent) // percent - n[doc]))
             if not parts:
@@ -272,9 +299,9 @@ def _meeting():
     return meeting_of
 
 
-def meeting(text: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+def meeting(text: DataFrame, size: int, percent: int, crowded: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(gram, node, n, head, head_n) of sets that share a key with another one."""
-    keys = text.mapInArrow(_keys(size, percent, common), _KEYS)
+    keys = text.mapInArrow(_keys(size, percent, crowded), _KEYS)
     follower = F.when(F.col("node") == F.col("head"), F.xxhash64("gram")).otherwise(F.xxhash64("gram", "node"))
     return keys.repartition(follower).sortWithinPartitions("gram", "n").mapInArrow(_meeting(), _MEETING)
 
@@ -524,9 +551,9 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """key, doc_id, n_shingles, and root (one value a component) of each row."""
     text = places.keyed(docs)
-    seen = checkpointed(text.mapInArrow(_surveyed(size), _SEEN))
-    rows = seen.where("gram is null").drop("gram", "times")
-    met = checkpointed(meeting(text, size, percent, common_grams(seen)))
+    seen = checkpointed(text.mapInArrow(_surveyed(size, percent), _SEEN))
+    rows = seen.where("piece is null").drop("piece", "counts")
+    met = checkpointed(meeting(text, size, percent, crowded_cells(seen, percent)))
     worded = rows.where("n_shingles > 0")
     keys = checkpointed(worded.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     corpus = Corpus(text, keys, size, percent)

@@ -100,16 +100,18 @@ def test_fragments_are_summed_by_pair(monkeypatch):
     assert shared == {(1, k): len(np.intersect1d(sets[1], sets[k])) for k in range(2, 6)} and min(shared.values()) > 0
 
 
-def test_a_passage_in_all_documents(spark):
+def test_a_passage_in_all_documents(spark, monkeypatch):
     """Documents that share a passage but no more are no links; copies of it are."""
     rng = np.random.default_rng(9)
     passage = " ".join(f"p{k}" for k in range(60))
+    monkeypatch.setattr(jaccard, "CROWD", 100)
     rows = [(k, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(0, 50))))) for k in range(150)]
     check(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
 
 
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(4)
+    classes = (rng.integers(0, 3, jaccard.CELLS) * (rng.random(jaccard.CELLS) < 0.5)).astype(np.uint8)
     for percent in (80, 90):
         for _ in range(400):
             n = int(rng.integers(1, 60))
@@ -120,8 +122,7 @@ def test_linked_sets_share_a_key():
             if 100 * both < percent * (len(a) + len(b) - both):
                 continue
             hashes = np.concatenate([a, b])
-            common = np.unique(rng.choice(hashes, n // 2))
-            doc, at = jaccard.key_places(hashes, np.array([0, len(a), len(a) + len(b)]), percent, np.stack([common, rng.permutation(len(common)).astype(np.uint64)]))
+            doc, at = jaccard.key_places(hashes, np.array([0, len(a), len(a) + len(b)]), percent, classes)
             assert set(hashes[at[doc == 0]].tolist()) & set(hashes[at[doc == 1]].tolist())
 
 
