@@ -9,10 +9,11 @@ What is in sequences that are still open at the end of a partition goes to a sec
 round, in which JOINED partitions are packed together by the same rule. Only what
 is open after that is joined and cut, so that each task of the second round ends
 in one partly filled sequence at most; those filled to a power of two, which need
-no padding, stay. The open sequences of a task hold about 1.5 million ids, however
-many it has packed: with few documents in all that is most of them, with 16
-partitions of ten thousand documents about a hundredth. ``recut`` in the result
-marks pieces of sequences that were cut at the end.
+no padding, stay. How much that is depends on the number of documents: with the
+sizes of a web-like corpus and a capacity of 2048, of 16 partitions of 1000
+documents 43 % of all ids are open after the first round and 6 % are cut at the end,
+of 12 partitions of 4000 documents 16 % and 3 %; of very few documents most are.
+``recut`` in the result marks pieces of sequences that were cut at the end.
 
 Defined cases: a null or empty text is its end id alone; each row of repeated
 rows and doc_ids is packed; null doc_ids stay null; an empty table gives no

@@ -49,14 +49,17 @@ def test_packing_wastes_little(docs):
     assert padded <= 1.03 * sum(fill)
 
 
-def test_little_is_cut_at_the_end(spark):
-    """Open sequences of several partitions are packed together before any is cut."""
+def test_partitions_are_packed_together_before_any_is_cut(spark, monkeypatch):
+    """Less is cut if the open sequences of several partitions meet, and no id is lost."""
     rng = np.random.default_rng(8)
     rows = [(k, " ".join(["word"] * int(n))) for k, n in enumerate(rng.integers(1, 60, 6000))]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id")
-    out = packing.pack(table, capacity=64).groupBy("recut").sum("length").collect()
-    size = {r.recut: r["sum(length)"] for r in out}
-    assert size[True] < 0.05 * size[False]
+    size = {}
+    for joined in (1, packing.JOINED):
+        monkeypatch.setattr(packing, "JOINED", joined)
+        size[joined] = {r.recut: r["sum(length)"] for r in packing.pack(table, capacity=64).groupBy("recut").sum("length").collect()}
+    assert sum(size[1].values()) == sum(size[packing.JOINED].values())
+    assert size[packing.JOINED][True] < 0.8 * size[1][True]
 
 
 def test_level_minimises_the_sum_of_squares():
