@@ -50,11 +50,11 @@ from ancestra.operators.joins import components, looked_up
 CELLS, PIECE = 1 << 22, 1 << 16
 CROWD, LOAD = 256, 8
 
-#: Cells that a task holds before it counts them.
-COUNTED = 1 << 20
+#: Keys that a task holds before it counts or deals them.
+COUNTED = 1 << 18
 
-#: Sets of one batch that share a key from which on only one of them is dealt by it.
-FOLLOWERS = 64
+#: Sets held at once that share a key from which on only one of them is dealt by it.
+FOLLOWERS = 32
 
 #: Sets that are compared with one head in one task, and heads with more at most.
 GROUP, HEADS = 512, 1 << 16
@@ -210,35 +210,41 @@ _KEYS = "gram long, node long, n long, head long, head_n long, many boolean, lar
 
 
 def _keys(size: int, percent: int, crowded: tuple[np.ndarray, np.ndarray]):
-    """Keys of a batch's sets. What comes before a key in a set is not shared by two sets
+    """Keys of sets, some at once. What comes before a key in a set is not shared by two sets
     of which it is the first shared one, so the key's place bounds the overlap, and thereby
-    the size of the other set (largest), which may link and has this as first. Where FOLLOWERS or more share one, the least is its head in
-    this batch and only the head is dealt by key (many: whether others follow)."""
+    the size of the other set (largest), which may link and has this as first. Where
+    FOLLOWERS or more share one, the least is its head among them and only the head is
+    dealt by key (many: whether others follow)."""
     names = [f.split()[0] for f in _KEYS.split(", ")]
     cells, class_of = crowded
 
+    def dealt(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        gram, node, n, largest = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((node, gram))
+        first = order[places.groups(gram[order], node[order])]
+        gram, node, n, largest = gram[first], node[first], n[first], largest[first]
+        starts = places.groups(gram)
+        count = np.diff(np.append(starts, len(gram)))
+        many = np.repeat(count >= FOLLOWERS, count)
+        heads = (np.where(many, np.repeat(x[starts], count), x) for x in (node, n))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), node, n, *heads, many, largest)], names)
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.zeros(CELLS, np.uint8)
         classes[cells] = class_of
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            parts = []
             for texts in scan.blocks(batch.column(2)):
                 hashes, bounds = sets(texts, size)
                 n, node = np.diff(bounds), _nodes(hashes, bounds)
                 doc, at = key_places(hashes, bounds, percent, classes)
                 left = n[doc] - (np.arange(len(doc)) - np.searchsorted(doc, doc))
                 parts.append((hashes[at] >> places.SHORT, node[doc], n[doc], left * (100 + percent) // percent - n[doc]))
-            if not parts:
-                continue
-            gram, node, n, largest = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((node, gram))
-            first = order[places.groups(gram[order], node[order])]
-            gram, node, n, largest = gram[first], node[first], n[first], largest[first]
-            starts = places.groups(gram)
-            count = np.diff(np.append(starts, len(gram)))
-            many = np.repeat(count >= FOLLOWERS, count)
-            columns = [gram.view(np.int64), node, n, np.where(many, np.repeat(node[starts], count), node), np.where(many, np.repeat(n[starts], count), n), many, largest]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
+                if sum(len(x[0]) for x in parts) >= COUNTED:
+                    yield dealt(parts)
+                    parts = []
+        if parts:
+            yield dealt(parts)
 
     return keys
 

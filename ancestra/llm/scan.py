@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 #: ASCII white space: the bytes 0x20 and 0x09 to 0x0D separate words.
 SPACE = np.zeros(256, bool)
