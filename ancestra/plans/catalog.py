@@ -756,17 +756,6 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.split_summary(targets), "recall", "ndcg", "dropout_overlap")
 
 
-@query()
-def gold_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scorers on two targets whose known originators are their works with a number divisible by 9."""
-    works, edges = fx.works(spark, sf_dir), fx.citations(spark, sf_dir)
-    origins = checkpointed(works.orderBy(F.col("n").desc()).limit(2).select(F.col("id").alias("origin")))
-    some = checkpointed(walks.reach(edges, origins)).where("depth > 0").where(F.substring("id", 2, 20).cast("long") % 9 == 0)
-    place = F.row_number().over(W.partitionBy("origin").orderBy("id")) - 1
-    gold = checkpointed(some.select("origin", F.lit("dev").alias("split"), place.cast("long").alias("work"), F.array("id").alias("ids")))
-    return ranking.split_summary(ranking.assess(edges, works.select("id", "year"), gold))
-
-
 # Narratives
 
 CLAIMS = "claims AS (SELECT conv_id AS origin, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS claim, 'S' || (turn % 4) AS id, text FROM conversations)"
