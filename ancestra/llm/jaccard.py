@@ -14,9 +14,10 @@ those that link are one component. Sets of one key that by their sizes and its p
 once. Only groups whose
 sets are in several components after that are looked at again: parity sketches of their sets are
 compared in blocks (each n-gram flips one bit of its set's, so two sketches
-differ in no more bits than the sets in n-grams), and pairs of different
-components that may link are verified, in rounds that stop when no pair of
-different components is left unjudged.
+differ in no more bits than the sets in n-grams), which names the sets that may
+link with one of another component, in parts. The n-grams of a part's sets meet in one task,
+which counts overlaps and returns only links that join components, fewer than
+the part has sets. Pairs of sets are never rows there.
 
 A pair is verified by vertical partitioning: both sets are cut at the same places
 of the order of hashes, the overlap of each fragment is counted on its own, and
@@ -59,8 +60,8 @@ FOLLOWERS = 32
 #: Sets that are compared with one head in one task, and heads with more at most.
 GROUP, HEADS = 512, 1 << 16
 
-#: Sketches in a block at most, and their bytes.
-BLOCK, BLOCK_BYTES = 4096, 1 << 24
+#: Sets in a block at most, and the bytes of their n-grams.
+BLOCK, BLOCK_BYTES = 4096, 1 << 23
 
 #: Bits of a sketch for each n-gram by which linked sets may differ, and at least.
 SKETCH_BITS, LEAST_BITS = 8, 512
@@ -71,8 +72,6 @@ FRAGMENT = 1 << 15
 #: Documents up to whose number candidates are broadcast to the scan of texts (16 bytes each).
 FEW = 500_000
 
-#: Pairs of two components that a task names at first, and the factor by which they grow each round.
-FIRST_PAIRS, PAIRS = 64, 16
 
 def sets(texts: scan.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each document in ascending order, and their bounds."""
@@ -339,13 +338,16 @@ class Corpus:
     size: int
     percent: int
 
-    def of(self, nodes: DataFrame, column: str) -> DataFrame:
+    def scanned(self, nodes: DataFrame, column: str) -> DataFrame:
         """(node, n, column) of the sets nodes: their sketches, or as value all their n-grams."""
         wanted = checkpointed(nodes.distinct().join(self.keys, "node").select("key"))
         wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
         made = _values if column == "value" else partial(parity_sketches, percent=self.percent)
-        found = self.text.join(wanted, "key").select("text").mapInArrow(_of_texts(self.size, column, made), f"node long, n long, {column} binary")
-        return checkpointed(found)
+        return self.text.join(wanted, "key").select("text").mapInArrow(_of_texts(self.size, column, made), f"node long, n long, {column} binary")
+
+    def of(self, nodes: DataFrame, column: str) -> DataFrame:
+        """The same, written, as it is used more than once."""
+        return checkpointed(self.scanned(nodes, column))
 
 
 def _folded(raw: bytes, width: int) -> np.ndarray:
@@ -486,11 +488,14 @@ def verified(pairs: DataFrame, sketches: DataFrame, corpus: Corpus) -> DataFrame
     return summed.where(100 * F.col("shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select("a", "b")
 
 
-def _across(percent: int, most: int):
-    """Of the sets of a task's two blocks pairs of different components that may link, and
-    the key if there are more of the same two components than most."""
+_PART = "part long, node long, n long, root long"
+
+
+def _near(percent: int):
+    """Of the sets of a task's two blocks those that may link with one of another component,
+    parted where no two of different parts may. Parts of the same sets have the same name."""
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_task(batches, 3):
             i, j = rows[0][1:3]
             sides: dict[int, dict[int, tuple]] = {}
@@ -499,23 +504,82 @@ def _across(percent: int, most: int):
             left, right = (list(sides.get(k, {}).values()) for k in (i, j))
             if not left or not right:
                 continue
-            a, b, root = np.array([x[1] for x in left]), np.array([x[1] for x in right]), np.array([x[2] for x in right])
-            named: dict[tuple[int, int], int] = {}
-            out = []
-            for k, near in may_link([x[3] for x in left], [x[3] for x in right], a, b, percent):
-                near = near[(root[near] != left[k][2]) & ((i != j) | (near > k))]
-                for q in near.tolist():
-                    both = (left[k][2], right[q][2])
-                    both = both if both[0] < both[1] else both[::-1]
-                    times = named[both] = named.get(both, 0) + 1
-                    if times <= most:
-                        x, y = sorted((left[k][:2], right[q][:2]))
-                        out.append((*x, *y))
-            if out:
-                more = rows[0][0] if any(times > most for times in named.values()) else None
-                yield _pairs([(*x, more) for x in out], "more")
-
-    return compared
+            every, offset = (left, 0) if i == j else (left + right, len(left))
+            node, n, root = (np.array([x[k] for x in every], np.int64) for k in range(3))
+            part, use = np.arange(len(every)), np.zeros(len(every), bool)
+            for k, near in may_link([x[3] for x in left], [x[3] for x in right], n[: len(left)], n[offset:], percent):
+                near = near + offset
+                near = near[(root[near] != root[k]) & (near > k)]
+                if len(near):
+                    use[near] = use[k] = True
+                    part = _together(part, np.append(near, k))
+            if use.any():
+                part = part[use]
+                name = np.zeros(len(every), np.uint64)
+                with np.errstate(over="ignore"):
+                    np.add.at(name, part, scan.mix(node[use].view(np.uint64)))
+                columns = (name[part].view(np.int64), node[use], n[use], root[use])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["part", "node", "n", "root"])
+
+    return near_sets
+
+
+def _together(part: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the parts after those of ends have become one."""
+    joined = np.unique(part[ends])
+    if len(joined) == 1:
+        return part
+    new = np.arange(len(part))
+    new[joined] = joined[0]
+    return new[part]
+
+
+def forest(values: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets (sorted n-grams) that join their components wherever links do, each
+    two components but once: fewer than there are sets.
+
+    A set is cut at as many places of the order as it is long, and so are those that it is
+    compared with; overlaps are counted by fragment and summed."""
+    n = np.array([len(x) for x in values], np.int64)
+    bounds = np.append(0, np.cumsum(n))
+    grams = np.concatenate(values)
+    sketches = parity_sketches(grams, bounds, percent)
+    distinct, ids = np.unique(grams, return_inverse=True)
+    own = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    held = np.zeros(len(distinct), bool)
+    part = np.unique(root, return_inverse=True)[1]
+    out = []
+    for k, near in may_link(sketches, sketches, n, n, percent):
+        near = near[(part[near] != part[k]) & (near > k)]
+        if not len(near):
+            continue
+        held[own[k]] = True
+        shared = np.zeros(len(near), np.int64)
+        cuts = np.linspace(0, len(distinct), -(-int(n[k]) // FRAGMENT) + 1).astype(np.int64)
+        for low, high in zip(cuts, cuts[1:]):
+            pieces = [own[q] if len(cuts) == 2 else own[q][slice(*np.searchsorted(own[q], [low, high]))] for q in near.tolist()]
+            ends = np.append(0, np.cumsum([len(x) for x in pieces]))
+            shared += np.diff(np.append(0, np.cumsum(held[np.concatenate(pieces)]))[ends])
+        held[own[k]] = False
+        links = near[100 * shared >= percent * (n[k] + n[near] - shared)]
+        if len(links):
+            out += [(k, int(q)) for q in links[np.unique(part[links], return_index=True)[1]]]
+            part = _together(part, np.append(links, k))
+    return out
+
+
+def _forests(percent: int):
+    """Links that join the components of the sets of a part; rows come sorted by it."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_task(batches, 1):
+            members = list({r[1]: r for r in rows}.values())
+            found = forest([np.frombuffer(r[3], "<u8") for r in members], np.array([r[2] for r in members]), percent)
+            if found:
+                columns = zip(*((members[k][1], members[q][1]) for k, q in found))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
+
+    return joined
 
 
 def open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -528,18 +592,25 @@ def open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(checkpointed(merged), "gram")
 
 
-def _left_over(met: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs of different components that meet in a group and may link, and the group's key
-    in column more if it has more of them."""
+def near_parts(met: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(part, node, n, root) of sets that meet in a group and may link with one of another
+    component: any two such sets of a group are in one part."""
     groups = checkpointed(open_groups(met, roots)).join(sketches, "node")
-    size = F.greatest(F.lit(LEAST_BITS / 8), F.col("n") * (SKETCH_BITS / 8))
-    weights = groups.groupBy("gram").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    weights = groups.groupBy("gram").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES)).cast("int").alias("n_blocks"))
     large = checkpointed(weights.where("n_blocks > 1"))
     blocks = F.coalesce("n_blocks", F.lit(1))
     dealt = groups.join(large, "gram", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = dealt.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "sketch")
     task = ["gram", "i", "j"]
-    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(_across(percent, most), f"{_PAIR}, more long")
+    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(_near(percent), _PART).distinct()
+
+
+def left_over(met: DataFrame, roots: DataFrame, sketches: DataFrame, corpus: Corpus) -> DataFrame:
+    """Links (a, b) that join the components of sets that meet in a group."""
+    parts = checkpointed(near_parts(met, roots, sketches, corpus.percent))
+    values = corpus.scanned(parts.select("node"), "value")
+    rows = parts.join(values.select("node", "value"), "node").select("part", "node", "root", "value")
+    return checkpointed(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_forests(corpus.percent), "a long, b long"))
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -567,18 +638,8 @@ def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     near_size = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     stars = met.where(F.col("node") != F.col("head")).where(near_size)
     links = checkpointed(verified(stars.select(F.col("head").alias("a"), F.col("head_n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct(), sketches, corpus))
-    roots, most = components(links), FIRST_PAIRS
-    while True:
-        found = checkpointed(_left_over(met, roots, sketches, percent, most))
-        if found.isEmpty():
-            break
-        links = checkpointed(verified(found.select(*_NAMES).distinct(), sketches, corpus))
-        roots = joined_roots(roots, links)
-        again = checkpointed(found.where("more is not null").select(F.col("more").alias("gram")).distinct())
-        if again.isEmpty():
-            break
-        met = checkpointed(met.join(again, "gram", "left_semi"))
-        most *= PAIRS
+    roots = components(links)
+    roots = joined_roots(roots, left_over(met, roots, sketches, corpus))
     rooted = keys.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
     found = looked_up(worded, rooted, "node", rows.count()).select("key", "doc_id", "n_shingles", "root")
     return found.union(rows.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.lit(None).cast("long")))

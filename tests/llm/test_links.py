@@ -141,6 +141,47 @@ def test_sketches_rule_out_no_link():
         assert len(found) < 200
 
 
+def test_many_near_sets_make_no_rows_of_pairs():
+    """Sets that all may link with one another by their sketches, and do not: a row each at most."""
+    rng = np.random.default_rng(8)
+    core = rng.integers(0, 2**63, 340).astype(np.uint64)
+    sets = [np.unique(np.concatenate([core, rng.integers(0, 2**63, 21).astype(np.uint64)])) for _ in range(60)]
+    n = np.array([len(x) for x in sets])
+    sketches = jaccard.parity_sketches(np.concatenate(sets), np.append(0, np.cumsum(n)), 90)
+    pairs = sum(len(near) for _, near in jaccard.may_link(sketches, sketches, n, n, 90))
+    assert pairs > 10 * len(sets)
+    rows = [(7, 0, 0, 0, k, int(n[k]), k, sketches[k]) for k in range(len(sets))]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["gram", "i", "j", "block", "node", "n", "root", "sketch"])
+    found = [r for out in jaccard._near(90)(iter([batch])) for r in out.to_pylist()]
+    assert len(found) == len({r["node"] for r in found}) <= len(sets)
+    assert jaccard.forest(sets, np.arange(len(sets)), 90) == []
+
+
+def test_a_forest_joins_what_links_join(monkeypatch):
+    rng = np.random.default_rng(10)
+    for fragment in (jaccard.FRAGMENT, 50):
+        monkeypatch.setattr(jaccard, "FRAGMENT", fragment)
+        bases = [rng.integers(0, 2**63, int(rng.integers(20, 400))).astype(np.uint64) for _ in range(4)]
+        sets = []
+        for _ in range(90):
+            base = bases[int(rng.integers(0, 4))]
+            kept = base[rng.random(len(base)) > rng.random() * 0.12]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)])))
+        root = np.arange(90)
+        root[:10] = 5
+        links = {(a, b) for a in range(90) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
+
+        def parts(pairs):
+            label = root.copy()
+            for a, b in pairs:
+                label[label == label[a]] = label[b]
+            return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+        found = jaccard.forest(sets, root, 90)
+        assert all((max(x), min(x)) in links for x in found)
+        assert parts(found) == parts(links) and len(found) == len(set(root.tolist())) - len(parts(links)) < len(links)
+
+
 def test_partial_overlaps():
     rng = np.random.default_rng(5)
     head, *members = (np.unique(rng.integers(0, 9000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(8))
