@@ -11,6 +11,8 @@ earlier: in a document with a smaller doc_id, or earlier in the same one.
    array of that text is built in two stages: only suffixes whose first byte is
    not greater than the next are sorted directly, all others are induced by one
    scan over the buckets of first bytes.
+   Segments of one hash with more than MOST bytes are first parted by the least
+   hashes of other orders, without the windows that stand there once.
 3. Common prefixes of adjacent suffixes part the windows into classes of equal
    strings; all but the earliest window of a class are covered.
 
@@ -41,6 +43,9 @@ RUN = 4096
 #: Bytes of segments that are sorted together, unless one hash has more.
 TEXT = 1 << 18
 
+#: Bytes of one hash from which on its windows are parted again, and how often at most.
+MOST, DEPTH = 1 << 20, 8
+
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -170,15 +175,17 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
 _PLACE = np.uint64(28)
 
 
-def _segments(texts: scan.Texts, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def _segments(texts: scan.Texts, length: int, gram: int, salt: int = 0) -> tuple[np.ndarray, ...]:
     """Hash, first window, number of windows, hash of the bytes of each segment, and
-    whether its hash stands at two places within it.
+    whether its hash stands at two places within it. Another salt is another order of hashes.
 
+    The hash returned is mixed again, as least ones are small and ranges of them uneven.
     The smallest hash of a window is taken by its first 36 bits, the leftmost of
     equal ones, so it depends on the window's bytes alone."""
     prefix = scan.prefix_hash(scan.byte_values(texts.data, 0), 0)
     at = scan.windows(texts.bounds, gram)
     hashes = scan.run_hash(prefix, at, at + gram, 0)
+    hashes = scan.mix(hashes ^ np.uint64(salt)) if salt else hashes
     marked = np.full(len(texts.data), _MAX, np.uint64)
     low = (1 << int(_PLACE)) - 1
     marked[at] = hashes >> _PLACE << _PLACE | (at & low).astype(np.uint64)
@@ -199,7 +206,7 @@ def _segments(texts: scan.Texts, length: int, gram: int) -> tuple[np.ndarray, ..
         n = np.minimum(np.repeat(n, parts) - k * RUN, RUN)
     start = windows[first]
     within = place[first] != place[first + n - 1]
-    return least[first], start, n, scan.run_hash(prefix, start, start + n + length - 1, 0), within
+    return scan.mix(least[first]), start, n, scan.run_hash(prefix, start, start + n + length - 1, 0), within
 
 
 def _order_of(doc_id: pa.Array) -> np.ndarray:
@@ -245,6 +252,20 @@ def _anchors(length: int, gram: int, ranges: int):
 _PIECES = "h long, content long, doc_order long, key long, pos long, n long, settled boolean, bytes binary"
 
 
+def _binary(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of each run of data."""
+    ends = np.append(0, np.cumsum(size)).astype(np.int64)
+    raw = data[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _raw(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the bounds of its values."""
+    raw = column.combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def _pieces(length: int):
     """Segments with their bytes; those that are settled without."""
 
@@ -265,16 +286,55 @@ def _pieces(length: int):
                 size = np.where(settled, 0, n[lo:hi] + length - 1)
                 prefix = scan.prefix_hash(scan.byte_values(texts.data, 1), 1)
                 content = scan.run_hash(prefix, a, a + size, 1).view(np.int64)
-                ends = np.append(0, np.cumsum(size))
-                data = texts.data[np.repeat(a - ends[:-1], size) + np.arange(ends[-1])]
-                raw = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                raw = _binary(texts.data, a, size)
                 columns = [pa.array(x) for x in (h[lo:hi], content, ids[texts.first + row], key[texts.first + row], pos[lo:hi], n[lo:hi], settled)]
                 yield pa.RecordBatch.from_arrays([*columns, raw], names)
 
     return cut
 
 
-def _covered_runs(length: int):
+def _parted(table: pa.Table, length: int, gram: int, salt: int) -> pa.Table:
+    """The windows of different segments of one hash that may stand there twice, as
+    segments by another order of hashes, sorted. A window that no other equals is left out:
+    counts of cells of hashes tell most of them."""
+    data, bounds = _raw(table.column(7))
+    ids, key, pos = (table.column(k).to_numpy() for k in (2, 3, 4))
+    cells = np.zeros(1 << max(16, int(table.column(5).to_numpy().sum()).bit_length() + 1), np.uint8)
+
+    def blocks() -> Iterator[tuple[scan.Texts, np.ndarray, np.ndarray]]:
+        at = 0
+        while at < len(pos):
+            end = max(int(np.searchsorted(bounds, bounds[at] + scan.BLOCK, "right")) - 1, at + 1)
+            texts = scan.Texts(at, data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at])
+            windows = scan.windows(texts.bounds, length)
+            hashes = scan.run_hash(scan.prefix_hash(scan.byte_values(texts.data, 1), 1), windows, windows + length, 1)
+            yield texts, windows, (hashes & np.uint64(len(cells) - 1)).astype(np.int64)
+            at = end
+
+    for _, _, cell in blocks():
+        cell, times = np.unique(cell, return_counts=True)
+        cells[cell] = np.minimum(cells[cell] + np.minimum(times, 2), 2)
+    out = []
+    for texts, windows, cell in blocks():
+        windows = windows[cells[cell] > 1]
+        if not len(windows):
+            continue
+        row = np.searchsorted(texts.bounds, windows, "right") - 1
+        first = places.groups(row, windows - np.arange(len(windows)))
+        start, row, size = windows[first], row[first], np.diff(np.append(first, len(windows))) + length - 1
+        ends = np.append(0, np.cumsum(size))
+        part = scan.Texts(0, texts.data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends)
+        h, at, n, content, _ = _segments(part, length, gram, salt)
+        run = np.searchsorted(ends, at, "right") - 1
+        owner = texts.first + row[run]
+        place = pos[owner] + start[run] - texts.bounds[row[run]] + at - ends[run]
+        columns = [pa.array(x) for x in (h.view(np.int64), content.view(np.int64), ids[owner], key[owner], place, n, np.zeros(len(n), bool))]
+        out.append(pa.RecordBatch.from_arrays([*columns, _binary(part.data, at, n + length - 1)], table.schema.names))
+    found = pa.Table.from_batches(out) if out else table.slice(0, 0)
+    return found.take(pa.array(np.argsort(found.column(0).to_numpy(), kind="stable")))
+
+
+def _covered_runs(length: int, gram: int):
     names = ["key", "start", "size"]
 
     def runs_of(key: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -309,6 +369,35 @@ def _covered_runs(length: int):
         out.append((key[owner], pos[owner] + first - at[owner], last - first + length - 1))
         return runs_of(*(np.concatenate(x) for x in zip(*out)))
 
+    def solved_in_parts(table: pa.Table, depth: int = 0) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by hash. Different segments of one hash with many bytes are parted by
+        the least hashes of another order; equal windows stay together, so each part is solved alone."""
+        starts = places.groups(table.column(0).to_numpy())
+        ends = np.append(starts[1:], table.num_rows)
+        total = np.append(0, np.cumsum(table.column(5).to_numpy() + length - 1))
+        at = 0
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if total[b] - total[a] > MOST and depth < DEPTH:
+                if a > at:
+                    yield solved(table.slice(at, a - at))
+                content, ids, key, pos, n = (table.column(k).slice(a, b - a).to_numpy() for k in range(1, 6))
+                order = np.lexsort((pos, key, ids, content))
+                later = np.zeros(b - a, bool)
+                later[1:] = content[order][1:] == content[order][:-1]
+                again = np.zeros(b - a, bool)
+                again[1:] = later[1:] & (key[order][1:] == key[order][:-1]) & (pos[order][1:] == pos[order][:-1])
+                copy, first = order[later & ~again], order[~later]
+                yield runs_of(key[copy], pos[copy], n[copy] + length - 1)
+                part = _parted(table.slice(a, b - a).take(pa.array(first)), length, gram, depth + 1)
+                if part.num_rows:
+                    yield from solved_in_parts(part, depth + 1)
+                at = b
+            elif total[b] - total[at] >= TEXT:
+                yield solved(table.slice(at, b - at))
+                at = b
+        if at < table.num_rows:
+            yield solved(table.slice(at))
+
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by hash; groups of one hash stay together."""
         held: list[pa.RecordBatch] = []
@@ -332,12 +421,12 @@ def _covered_runs(length: int):
                 if before >= TEXT and (cut > 0 or h[0] != last):
                     if cut > at:
                         held.append(batch.slice(at, cut - at))
-                    yield solved(pa.Table.from_batches(held))
+                    yield from solved_in_parts(pa.Table.from_batches(held))
                     held, size, at = [], 0, int(cut)
             held.append(batch.slice(at))
             size += int(total[-1]) - (int(total[at - 1]) if at else 0)
         if held:
-            yield solved(pa.Table.from_batches(held))
+            yield from solved_in_parts(pa.Table.from_batches(held))
 
     return covered
 
@@ -376,7 +465,7 @@ def covered_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     by_doc = anchors.groupBy("key").agg(F.collect_list(F.struct("g", "at")).alias("segments"))
     found = rows.repartition("key").join(by_doc, "key").select("key", "doc_id", "text", "segments")
     pieces = found.mapInArrow(_pieces(length), _PIECES).repartition("h").sortWithinPartitions("h")
-    return pieces.mapInArrow(_covered_runs(length), "key long, start long, size long")
+    return pieces.mapInArrow(_covered_runs(length, gram), "key long, start long, size long")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -102,6 +102,53 @@ def test_places_in_texts_beyond_their_bits(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, suffix._segments(texts, 100, 32)))
 
 
+def test_ranges_of_anchors_are_even():
+    """Least hashes are small ones, which must not put half of all anchors into the first range."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(60)]
+    ids = pa.array(list(range(60)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["key", "doc_id", "text"])
+    n = np.concatenate([out.column(1).to_numpy() for out in suffix._anchors(100, 32, 50)(iter([batch]))])
+    assert len(n) == 50 and n.max() < 2 * n.mean()
+
+
+def test_one_hash_with_many_bytes_is_solved_in_parts(monkeypatch):
+    """Different segments of one hash, more than are sorted at once: right runs, and less text at a time."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    word = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    common, lefts, rights = word(90), [word(40) for _ in range(9)], [word(40) for _ in range(9)]
+    rows = []
+    for k in range(400):
+        a = lefts[int(rng.integers(0, 9))] if k % 3 else word(40)
+        b = rights[int(rng.integers(0, 9))] if k % 4 else word(40)
+        text = (a + common + b)[int(rng.integers(0, 30)) : -int(rng.integers(1, 30))]
+        rows.append((5, hash(text), k // 2, k // 2, 1000 * (k % 2), len(text) - 99, False, text))
+    names = [f.split()[0] for f in suffix._PIECES.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names)
+    seen, wanted = {}, set()
+    for _, _, _, key, pos, n, _, text in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
+        for i in range(n):
+            window = text[i : i + 100]
+            if seen.setdefault(window, (key, pos + i)) != (key, pos + i):
+                wanted |= {(key, pos + i + j) for j in range(100)}
+    sizes: list[int] = []
+    sort = suffix.earlier_windows
+    monkeypatch.setattr(suffix, "earlier_windows", lambda text, *rest: sizes.append(len(text)) or sort(text, *rest))
+    most = []
+    for limit in (1 << 30, 3000):
+        monkeypatch.setattr(suffix, "MOST", limit)
+        monkeypatch.setattr(suffix, "TEXT", min(limit, suffix.TEXT))
+        sizes.clear()
+        runs = [r for out in suffix._covered_runs(100, 32)(iter([batch])) for r in out.to_pylist()]
+        assert {(r["key"], r["start"] + j) for r in runs for j in range(r["size"])} == wanted
+        most.append(max(sizes))
+    assert most[1] < most[0] / 3
+
+
 @pytest.mark.parametrize("size,letters", [(0, 2), (1, 2), (60, 2), (400, 3), (2000, 2), (2000, 200)])
 def test_two_stage_sort(size, letters):
     text = np.random.default_rng(size + letters).integers(0, letters, size).astype(np.uint8)
