@@ -306,7 +306,7 @@ def _meeting():
 
 def meeting(text: DataFrame, size: int, percent: int, crowded: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(gram, node, n, head, head_n) of sets that share a key with another one."""
-    keys = text.mapInArrow(_keys(size, percent, crowded), _KEYS)
+    keys = text.mapInArrow(scan.giving_back(_keys(size, percent, crowded)), _KEYS)
     follower = F.when(F.col("node") == F.col("head"), F.xxhash64("gram")).otherwise(F.xxhash64("gram", "node"))
     return keys.repartition(follower).sortWithinPartitions("gram", "n").mapInArrow(_meeting(), _MEETING)
 
@@ -343,7 +343,7 @@ class Corpus:
         wanted = checkpointed(nodes.distinct().join(self.keys, "node").select("key"))
         wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
         made = _values if column == "value" else partial(parity_sketches, percent=self.percent)
-        return self.text.join(wanted, "key").select("text").mapInArrow(_of_texts(self.size, column, made), f"node long, n long, {column} binary")
+        return self.text.join(wanted, "key").select("text").mapInArrow(scan.giving_back(_of_texts(self.size, column, made)), f"node long, n long, {column} binary")
 
     def of(self, nodes: DataFrame, column: str) -> DataFrame:
         """The same, written, as it is used more than once."""
@@ -628,7 +628,7 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """key, doc_id, n_shingles, and root (one value a component) of each row."""
     text = places.keyed(docs)
-    seen = checkpointed(text.mapInArrow(_surveyed(size, percent), _SEEN))
+    seen = checkpointed(text.mapInArrow(scan.giving_back(_surveyed(size, percent)), _SEEN))
     rows = seen.where("piece is null").drop("piece", "counts")
     met = checkpointed(meeting(text, size, percent, crowded_cells(seen, percent)))
     worded = rows.where("n_shingles > 0")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ancestra.llm import tokens
+from ancestra.llm import scan, tokens
 from ancestra.llm.storage import checkpointed
 
 CAPACITY = 2048
@@ -197,9 +197,9 @@ def _joiner(capacity: int):
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = "") -> DataFrame:
     """One row a piece: where its ids stand in its document and in its sequence."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = checkpointed(rows.mapInArrow(_packer(capacity, end_id, path or tokens.default_path()), _FIRST))
+    pieces = checkpointed(rows.mapInArrow(scan.giving_back(_packer(capacity, end_id, path or tokens.default_path())), _FIRST))
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
     left = pieces.where("ids is not null").select("part", "doc_id", "start", "doc_tokens", "ids")
     groups = -(-(1 + (left.agg(F.max("part")).first()[0] or 0)) // JOINED)
     together = left.repartitionById(groups, F.floor(F.col("part") / JOINED).cast("int")).sortWithinPartitions("part", "doc_id", "doc_tokens", "start", "ids")
-    return pieces.where("ids is null").select(*names).union(together.mapInArrow(_joiner(capacity), _SCHEMA))
+    return pieces.where("ids is null").select(*names).union(together.mapInArrow(scan.giving_back(_joiner(capacity)), _SCHEMA))

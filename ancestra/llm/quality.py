@@ -255,4 +255,4 @@ def keep(docs: DataFrame, **options) -> DataFrame:
             c = count(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(~base_failed(c) & np.isin(pattern(vote(c)), passed)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(scan.giving_back(kept), docs.schema)

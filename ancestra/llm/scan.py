@@ -8,9 +8,10 @@ documents. Buffers are cut into groups of whole documents of about
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -173,3 +174,17 @@ def covered(starts: np.ndarray, lengths: np.ndarray | int, total: int) -> np.nda
     np.add.at(change, starts, 1)
     np.add.at(change, starts + lengths, -1)
     return np.cumsum(change[:total]) > 0
+
+
+def giving_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """task, after which memory that is free goes back to the system: a worker lives on
+    through the stages that follow, and keeps what its allocators hold."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
