@@ -103,7 +103,7 @@ def test_places_in_texts_beyond_their_bits(monkeypatch):
 
 
 def test_ranges_of_anchors_are_even():
-    """Least hashes are small ones, which must not put half of all anchors into the first range."""
+    """Least hashes are small ones, which must not put most anchors into the first ranges."""
     import pyarrow as pa
 
     rng = np.random.default_rng(13)
