@@ -201,7 +201,7 @@ def crowded_cells(seen: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray
     total = seen.where("n_shingles > 0").agg(F.sum(n - F.ceil(n * percent / 100) + 1)).first()[0] or 0
     least = max(CROWD, -(-total * LOAD // CELLS))
     pieces = seen.where("piece is not null").select("piece", "counts")
-    rows = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_crowded(least), "cell long, class long").toPandas()
+    rows = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(scan.giving_back(_crowded(least)), "cell long, class long").toPandas()
     return rows["cell"].to_numpy(np.int64), np.minimum(rows["class"].to_numpy(np.int64), 255).astype(np.uint8)
 
 
@@ -308,7 +308,7 @@ def meeting(text: DataFrame, size: int, percent: int, crowded: tuple[np.ndarray,
     """(gram, node, n, head, head_n) of sets that share a key with another one."""
     keys = text.mapInArrow(scan.giving_back(_keys(size, percent, crowded)), _KEYS)
     follower = F.when(F.col("node") == F.col("head"), F.xxhash64("gram")).otherwise(F.xxhash64("gram", "node"))
-    return keys.repartition(follower).sortWithinPartitions("gram", "n").mapInArrow(_meeting(), _MEETING)
+    return keys.repartition(follower).sortWithinPartitions("gram", "n").mapInArrow(scan.giving_back(_meeting()), _MEETING)
 
 
 def _of_texts(size: int, column: str, made):
@@ -478,12 +478,12 @@ def verified(pairs: DataFrame, sketches: DataFrame, corpus: Corpus) -> DataFrame
     """Pairs (a, b) of those given that link."""
     percent = corpus.percent
     pairs = checkpointed(pairs)
-    near = _beside(pairs, sketches, "sketch").drop("a_n").repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_sketched(percent), _PAIR)
+    near = _beside(pairs, sketches, "sketch").drop("a_n").repartition("a", "salt").sortWithinPartitions("a", "salt").mapInArrow(scan.giving_back(_sketched(percent)), _PAIR)
     near = checkpointed(near)
     values = corpus.of(near.select(F.col("a").alias("node")).union(near.select("b")), "value")
     task = ["a", "salt", "fragment"]
-    cut = _beside(near, values, "value").mapInArrow(_cut, "a long, salt long, fragment long, node long, n long, value binary")
-    parts = cut.repartition(*task).sortWithinPartitions(*task).mapInArrow(_overlapped, f"{_PAIR}, shared long")
+    cut = _beside(near, values, "value").mapInArrow(scan.giving_back(_cut), "a long, salt long, fragment long, node long, n long, value binary")
+    parts = cut.repartition(*task).sortWithinPartitions(*task).mapInArrow(scan.giving_back(_overlapped), f"{_PAIR}, shared long")
     summed = parts.groupBy(*_NAMES).agg(F.sum("shared").alias("shared"))
     return summed.where(100 * F.col("shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select("a", "b")
 
@@ -602,7 +602,7 @@ def near_parts(met: DataFrame, roots: DataFrame, sketches: DataFrame, percent: i
     dealt = groups.join(large, "gram", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = dealt.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "sketch")
     task = ["gram", "i", "j"]
-    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(_near(percent), _PART).distinct()
+    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(scan.giving_back(_near(percent)), _PART).distinct()
 
 
 def left_over(met: DataFrame, roots: DataFrame, sketches: DataFrame, corpus: Corpus) -> DataFrame:
@@ -610,7 +610,7 @@ def left_over(met: DataFrame, roots: DataFrame, sketches: DataFrame, corpus: Cor
     parts = checkpointed(near_parts(met, roots, sketches, corpus.percent))
     values = corpus.scanned(parts.select("node"), "value")
     rows = parts.join(values.select("node", "value"), "node").select("part", "node", "root", "value")
-    return checkpointed(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_forests(corpus.percent), "a long, b long"))
+    return checkpointed(rows.repartition("part").sortWithinPartitions("part").mapInArrow(scan.giving_back(_forests(corpus.percent)), "a long, b long"))
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:

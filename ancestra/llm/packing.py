@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,9 @@ _FIRST = f"{_SCHEMA}, part int, ids binary"
 #: Partitions whose open sequences are packed together in the second round.
 JOINED = 16
 
+#: Pieces of open sequences that are sent at once.
+SENT = 1000
+
 #: Numbers of sequences of the second round begin here.
 SECOND = 1 << 62
 
@@ -150,7 +154,7 @@ def _packer(capacity: int, end_id: int, path: str):
         made = 0
         doc_ids: list[int | None] = []
         lengths: list[int] = []
-        for batch in batches:
+        for batch in scan.slices(batches):
             ready: list[tuple[bool, list[Piece]]] = []
             texts = pc.fill_null(batch.column(1), "").to_pylist()
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
@@ -164,8 +168,9 @@ def _packer(capacity: int, end_id: int, path: str):
                     ready.append((False, full))
             yield _batch([(*r, part, None) for r in _rows(ready, (part << 40) + made, doc_ids, lengths)], schema)
             made += len(ready)
-        left = [(doc_ids[row], start, len(ids), None, lengths[row], None, None, None, part, ids.astype("<u4").tobytes()) for row, start, ids in levels.left()]
-        yield _batch(left, schema)
+        left = levels.left()
+        while some := list(islice(left, SENT)):
+            yield _batch([(doc_ids[row], start, len(ids), None, lengths[row], None, None, None, part, ids.astype("<u4").tobytes()) for row, start, ids in some], schema)
 
     return packed
 
@@ -180,7 +185,7 @@ def _joiner(capacity: int):
         made = 0
         doc_ids: list[int | None] = []
         lengths: list[int] = []
-        for batch in batches:
+        for batch in scan.slices(batches):
             ready = []
             for _, doc_id, start, size, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 doc_ids.append(doc_id)

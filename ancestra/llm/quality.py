@@ -223,7 +223,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and the vote pattern of each row."""
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, votes long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_counted, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan.giving_back(_counted), schema)
 
 
 def _fitted(rows: DataFrame, **options) -> tuple[QualityModel, list]:
@@ -251,7 +251,7 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     passed = np.sort(np.array([k for k, v in zip(patterns, model.posterior(np.array(patterns, np.int64)) if patterns else []) if v >= model.threshold], np.int64))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in scan.slices(batches):
             c = count(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(~base_failed(c) & np.isin(pattern(vote(c)), passed)))
 

@@ -9,7 +9,7 @@ documents. Buffers are cut into groups of whole documents of about
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, wraps
 
@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 
+#: Bytes of rows that are taken from a batch at once, about.
+SLICE = 1 << 21
+
 #: ASCII white space: the bytes 0x20 and 0x09 to 0x0D separate words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,32 +43,33 @@ def _byte_table(seed: int) -> np.ndarray:
         return mix((np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * seed)) * _MULTIPLIER)
 
 
-@lru_cache(maxsize=8)
-def _powers(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
+def _powers(size: int, seed: int, down: bool) -> np.ndarray:
+    """Powers of an odd base, or of its inverse, modulo 2**64."""
     base = (0xD1342543DE82EF95 + 2 * 0x5851F42D4C957F2D * seed) % 2**64 | 1
-    inverse = pow(base, -1, 2**64)
-    out = []
-    for b in (base, inverse):
-        p = np.ones(size, np.uint64)
-        n = 1
-        with np.errstate(over="ignore"):
-            while n < size:
-                m = min(n, size - n)
-                p[n : n + m] = p[:m] * np.uint64(pow(b, n, 2**64))
-                n += m
-        out.append(p)
-    return out[0], out[1]
+    b = pow(base, -1, 2**64) if down else base
+    p = np.ones(size, np.uint64)
+    n = 1
+    with np.errstate(over="ignore"):
+        while n < size:
+            m = min(n, size - n)
+            p[n : n + m] = p[:m] * np.uint64(pow(b, n, 2**64))
+            n += m
+    return p
+
 
+_kept_powers = lru_cache(maxsize=8)(_powers)
 
-def powers(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    room = max(BLOCK + 1024, 1 << (max(size, 1) - 1).bit_length())
-    return _powers(room, seed)
+
+def powers(size: int, seed: int, down: bool = False) -> np.ndarray:
+    """At least size powers; those of a block are kept, more are made anew, as a worker
+    would hold them through all that follows."""
+    room = BLOCK + 1024
+    return _kept_powers(room, seed, down) if size <= room else _powers(size, seed, down)
 
 
 def prefix_hash(values: np.ndarray, seed: int) -> np.ndarray:
     """prefix[i]: hash of values[:i]; differences give the hash of any run."""
-    up, _ = powers(len(values) + 1, seed)
+    up = powers(len(values) + 1, seed)
     out = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(values * up[: len(values)], out=out[1:])
@@ -74,7 +78,7 @@ def prefix_hash(values: np.ndarray, seed: int) -> np.ndarray:
 
 def run_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """Hash of each run [start, end), the same wherever the run stands."""
-    _, down = powers(len(prefix), seed)
+    down = powers(len(prefix), seed, down=True)
     with np.errstate(over="ignore"):
         h = (prefix[ends] - prefix[starts]) * down[starts]
         return mix(h + (ends - starts).astype(np.uint64) * _MULTIPLIER)
@@ -176,6 +180,15 @@ def covered(starts: np.ndarray, lengths: np.ndarray | int, total: int) -> np.nda
     return np.cumsum(change[:total]) > 0
 
 
+def slices(batches: Iterable[pa.RecordBatch], limit: int = 0) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, a few at a time: a batch has as many rows as the session says,
+    however long they are, and what a task makes of them at once, and sends, is then small."""
+    for batch in batches:
+        step = max(1, batch.num_rows * (limit or SLICE) // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def giving_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """task, after which memory that is free goes back to the system: a worker lives on
     through the stages that follow, and keeps what its allocators hold."""

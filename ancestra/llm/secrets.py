@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ancestra.llm import scan
 from ancestra.llm.tokens import default_path
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -250,7 +251,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each secret replaced by a mark, n_chars (if there) made anew."""
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in scan.slices(batches):
             k = batch.schema.get_field_index("text")
             texts = [t if t is None else redacted(t) for t in batch.column(k).to_pylist()]
             batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
@@ -260,7 +261,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(changed, docs.schema)
+    return docs.mapInArrow(scan.giving_back(changed), docs.schema)
 
 
 def digest(text: str) -> str:

@@ -23,7 +23,7 @@ from ancestra.llm import scan
 REMEMBERED = 400_000
 
 #: Characters of texts that are cut and looked up together.
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 #: Texts with other characters go whole: beyond Latin Extended-A, the one letter
 #: there that becomes two in lower case, marks of special tokens, and separators
