@@ -6,7 +6,11 @@ column, ``origin``; every result carries it, so one plan serves a batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,16 +18,28 @@ from ancestra.operators import joins
 from ancestra.plans.storage import checkpointed
 
 
+#: A frontier of no more rows is broadcast, so that a round reads the citations and deals none out.
+FRONTIER = 1 << 17
+
+#: Citations of one origin that one task may search for cycles, or move mass along.
+SEARCHED = 1 << 21
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FRONTIER else df
+
+
 def reach(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """origin, id and depth (least number of citations) of each work reached, the origin at 0."""
     step = checkpointed(edges.select("source", "target").distinct())
     frontier = checkpointed(origins.select("origin", F.col("origin").alias("id")).distinct())
-    seen, depth = frontier.withColumn("depth", F.lit(0)), 0
+    seen, depth, rows = frontier.withColumn("depth", F.lit(0)), 0, frontier.count()
     while True:
         depth += 1
-        met = frontier.join(step, F.col("id") == F.col("source")).select("origin", F.col("target").alias("id")).distinct()
+        met = step.join(_small(frontier, rows), F.col("id") == F.col("source")).select("origin", F.col("target").alias("id")).distinct()
         frontier = checkpointed(met.join(seen.select("origin", "id"), ["origin", "id"], "left_anti"))
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             return seen
         seen = seen.union(frontier.withColumn("depth", F.lit(depth)))
 
@@ -35,58 +51,173 @@ def ancestry(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return left.join(ends.withColumnRenamed("id", "target"), ["origin", "target"], "left_semi").select("origin", "source", "target")
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """origin, a, b: b is reached from a by one citation or more; edges carry origin."""
-    held = checkpointed(edges.select("origin", F.col("source").alias("a"), F.col("target").alias("b")).distinct())
-    step = held.select(F.col("origin").alias("o"), F.col("a").alias("b1"), F.col("b").alias("b2"))
-    new = held
-    while True:
-        met = new.join(step, (F.col("origin") == F.col("o")) & (F.col("b") == F.col("b1"))).select("origin", "a", F.col("b2").alias("b")).distinct()
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """origin, a, b: b is reached by one citation or more from a, one of starts (origin, a); edges carry origin."""
+    step = checkpointed(edges.select(F.col("origin").alias("o"), F.col("source").alias("b1"), F.col("target").alias("b2")).distinct())
+    held = new = checkpointed(step.select(F.col("o").alias("origin"), F.col("b1").alias("a"), F.col("b2").alias("b")).join(starts.select("origin", "a"), ["origin", "a"], "left_semi"))
+    while rows := new.count():
+        met = step.join(_small(new, rows), (F.col("origin") == F.col("o")) & (F.col("b") == F.col("b1"))).select("origin", "a", F.col("b2").alias("b")).distinct()
         new = checkpointed(met.join(held, ["origin", "a", "b"], "left_anti"))
-        if new.isEmpty():
-            return held
         held = held.union(new)
+    return held
+
+
+def _searched(group: pd.DataFrame) -> pd.DataFrame:
+    """origin, id, knot of one origin's citations, by a depth-first search."""
+    codes, ids = pd.factorize(pd.concat([group.a, group.b]), sort=True)
+    n, half = len(ids), len(group)
+    order = codes[:half].argsort(kind="stable")
+    start = [0, *pd.Series(codes[:half]).value_counts().reindex(range(n), fill_value=0).cumsum()]
+    to = codes[half:][order].tolist()
+    at, low, open_, path, knots, count = [0] * n, [0] * n, [False] * n, [], [-1] * n, 0
+    for root in range(n):
+        todo = [] if at[root] else [(root, start[root])]
+        while todo:
+            v, k = todo.pop()
+            if not at[v]:
+                count += 1
+                at[v] = low[v] = count
+                open_[v] = True
+                path.append(v)
+            elif k > start[v] and open_[to[k - 1]]:  # back from the citation before
+                low[v] = min(low[v], low[to[k - 1]])
+            while k < start[v + 1] and at[to[k]]:
+                if open_[to[k]]:
+                    low[v] = min(low[v], at[to[k]])
+                k += 1
+            if k < start[v + 1]:
+                todo += [(v, k + 1), (to[k], start[to[k]])]
+            elif low[v] == at[v]:
+                own = []
+                while not own or own[-1] != v:
+                    own.append(path.pop())
+                    open_[own[-1]] = False
+                if len(own) > 1:
+                    least = min(own)
+                    for x in own:
+                        knots[x] = least
+    found = [v for v in range(n) if knots[v] >= 0]
+    return pd.DataFrame({"origin": group.origin.iloc[0] if found else [], "id": ids[found], "knot": ids[[knots[v] for v in found]]})
+
+
+def _coloured(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Some components of citations (origin, a, b), one at least, and the citations without them.
+
+    Each work takes the greatest colour (hash and id) that reaches it. Works of one colour
+    that reach the work it comes from are its component."""
+    ends = left.select("origin", F.col("a").alias("id")).union(left.select("origin", "b")).distinct()
+    colours = new = checkpointed(ends.withColumn("colour", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("of"))))
+    while rows := new.count():
+        told = left.join(_small(new.select("origin", F.col("id").alias("a"), "colour"), rows), ["origin", "a"]).groupBy("origin", F.col("b").alias("id")).agg(F.max("colour").alias("told"))
+        met = checkpointed(colours.join(told, ["origin", "id"], "left"))
+        better = F.coalesce(F.col("told") > F.col("colour"), F.lit(False))
+        new = checkpointed(met.where(better).select("origin", "id", F.col("told").alias("colour")))
+        colours = met.select("origin", "id", F.when(better, F.col("told")).otherwise(F.col("colour")).alias("colour"))
+    colours = checkpointed(colours.select("origin", "id", F.col("colour.of").alias("of")))
+    a, b = (colours.select("origin", F.col("id").alias(c), F.col("of").alias(f"of_{c}")) for c in "ab")
+    alike = checkpointed(left.join(a, ["origin", "a"]).join(b, ["origin", "b"]).where("of_a = of_b").select("origin", "a", "b"))
+    held = new = checkpointed(colours.where("id = of"))
+    while rows := new.count():
+        met = alike.join(_small(new.select("origin", F.col("id").alias("b"), "of"), rows), ["origin", "b"]).select("origin", F.col("a").alias("id"), "of").distinct()
+        new = checkpointed(met.join(held, ["origin", "id"], "left_anti"))
+        held = held.union(new)
+    held = checkpointed(held)
+    for end in "ab":
+        left = left.join(held.select("origin", F.col("id").alias(end)), ["origin", end], "left_anti")
+    return held, checkpointed(left.select("origin", "a", "b"))
+
+
+def knots(lineage: DataFrame) -> DataFrame:
+    """origin, id, knot: works on a cycle with others, and the least id of their strongly connected component.
+
+    Works that cite or are cited by none that is left are on no cycle and go first. What
+    is left of an origin is searched in one task if it has SEARCHED citations or fewer;
+    else components are told by rounds of joins until it has."""
+    left = checkpointed(lineage.select("origin", F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct())
+    found, before = [], None
+    while True:
+        per = left.groupBy("origin").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        most, total = per[0] or 0, per[1] or 0
+        if most <= SEARCHED:
+            break
+        if before is None or total < 0.9 * before:
+            citing, cited = left.select("origin", F.col("a").alias("id")), left.select("origin", F.col("b").alias("id"))
+            both = checkpointed(citing.distinct().join(cited.distinct(), ["origin", "id"]))
+            for end in "ab":
+                left = left.join(both.withColumnRenamed("id", end), ["origin", end], "left_semi")
+            left, before = checkpointed(left.select("origin", "a", "b")), total
+        else:
+            some, left = _coloured(left)
+            found.append(some)
+            before = None
+    out = left.groupBy("origin").applyInPandas(_searched, "origin string, id string, knot string")
+    for some in found:
+        many = some.groupBy("origin", "of").agg(F.min("id").alias("knot"), F.count("*").alias("n")).where("n > 1")
+        out = out.union(some.join(many, ["origin", "of"]).select("origin", "id", "knot"))
+    return checkpointed(out)
 
 
 def acyclic(lineage: DataFrame, years: DataFrame) -> DataFrame:
     """A lineage without cycles: of each strongly connected component the works are
     ordered from new to old (undated last), by citations within it, then by id, and
     citations against that order go. years: id, year."""
-    paths = closure(lineage)
-    back = paths.select("origin", F.col("a").alias("b"), F.col("b").alias("a"))
-    tangled = paths.join(back, ["origin", "a", "b"]).where("a <> b").groupBy("origin", F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("knot"))
-    tangled = checkpointed(tangled)
+    tangled = knots(lineage)
     source = tangled.select("origin", F.col("id").alias("source"), F.col("knot").alias("ks"))
     target = tangled.select("origin", F.col("id").alias("target"), F.col("knot").alias("kt"))
-    marked = lineage.join(source, ["origin", "source"], "left").join(target, ["origin", "target"], "left")
-    within = marked.where("ks = kt")
-    degree = within.groupBy("origin", F.col("target").alias("id")).agg(F.count("*").alias("degree"))
-    order = W.partitionBy("origin", "knot").orderBy(-F.coalesce("year", F.lit(0)), F.coalesce("degree", F.lit(0)), "id")
-    ranked = tangled.join(years, "id", "left").join(degree, ["origin", "id"], "left").select("origin", "id", F.row_number().over(order).alias("place"))
+    marked = checkpointed(lineage.join(source, ["origin", "source"], "left").join(target, ["origin", "target"], "left"))
+    degree = marked.where("ks = kt").groupBy("origin", F.col("target").alias("id")).agg(F.count("*").alias("degree"))
+    place = F.struct((-F.coalesce("year", F.lit(0))).alias("age"), F.coalesce("degree", F.lit(0)).alias("degree"), F.col("id").alias("last"))
+    ranked = checkpointed(tangled.join(years, "id", "left").join(degree, ["origin", "id"], "left").select("origin", "id", place.alias("place")))
     ps = ranked.select("origin", F.col("id").alias("source"), F.col("place").alias("ps"))
     pt = ranked.select("origin", F.col("id").alias("target"), F.col("place").alias("pt"))
     placed = marked.join(ps, ["origin", "source"], "left").join(pt, ["origin", "target"], "left")
     return placed.where("not coalesce(ks = kt and ps > pt, false)").select("origin", "source", "target")
 
 
+def _moved(group: pd.DataFrame, least: float, most: int) -> pd.DataFrame:
+    """propagate for the edges of one origin."""
+    origin = group.origin.iloc[0]
+    codes, ids = pd.factorize(pd.concat([pd.Series([origin]), group.source, group.target]))
+    source, target, w = codes[1 : len(group) + 1], codes[len(group) + 1 :], group.w.to_numpy()
+    now, total, met = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool)
+    now[0], there = 1.0, np.arange(len(ids)) == 0
+    for _ in range(most):
+        along = there[source]
+        if not along.any():
+            break
+        now = np.bincount(target, now[source] * w, len(ids))
+        there = np.bincount(target, along, len(ids)) > 0
+        total, met = total + now, met | there
+        if now.sum() <= least:
+            break
+    return pd.DataFrame({"origin": origin, "id": ids[met], "mass": total[met]})
+
+
 def propagate(weighted: DataFrame, origins: DataFrame, least: float = 0.0, most: int = 1 << 10) -> DataFrame:
     """origin, id, mass: all mass that flows from each origin along weighted edges
     (origin, source, target, w), the sum over all walks of their weights' product.
 
     On an acyclic graph it ends by itself; elsewhere when no origin has more than least
-    in motion, or after so many rounds."""
+    in motion, or after so many rounds. Where no origin has more than SEARCHED edges a
+    task moves an origin's mass, else each round is a join."""
+    weighted = checkpointed(weighted.join(origins.select("origin").distinct(), "origin", "left_semi").select("origin", "source", "target", "w"))
+    if (weighted.groupBy("origin").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= SEARCHED:
+
+        def moved_by(group: pd.DataFrame) -> pd.DataFrame:
+            return _moved(group, least, most)
+
+        return checkpointed(weighted.groupBy("origin").applyInPandas(moved_by, "origin string, id string, mass double"))
     step = checkpointed(weighted.select(F.col("origin").alias("o"), "source", "target", "w"))
-    now = origins.select("origin", F.col("origin").alias("id"), F.lit(1.0).alias("mass"))
-    total, rounds = None, 0
-    while True:
-        for _ in range(4):
-            now = now.join(step, (F.col("origin") == F.col("o")) & (F.col("id") == F.col("source"))).groupBy("origin", F.col("target").alias("id")).agg(F.sum(F.col("mass") * F.col("w")).alias("mass"))
-            total = now if total is None else total.union(now)
-        now = checkpointed(now)
-        total = checkpointed(total.groupBy("origin", "id").agg(F.sum("mass").alias("mass")))
-        rounds += 4
-        if rounds >= most or now.groupBy("origin").agg(F.sum("mass").alias("moving")).where(F.col("moving") > least).isEmpty():
-            return total
+    now = checkpointed(origins.select("origin", F.col("origin").alias("id"), F.lit(1.0).alias("mass")))
+    moved, rows, moving = [], now.count(), None
+    for _ in range(most):
+        met = step.join(_small(now, rows), (F.col("origin") == F.col("o")) & (F.col("id") == F.col("source")))
+        now = checkpointed(met.groupBy("origin", F.col("target").alias("id")).agg(F.sum(F.col("mass") * F.col("w")).alias("mass")))
+        moved.append(now)
+        rows, moving = now.groupBy("origin").agg(F.count("*").alias("n"), F.sum("mass").alias("moving")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("moving")).first()
+        if moving is None or moving <= least:
+            break
+    return checkpointed(reduce(DataFrame.union, moved).groupBy("origin", "id").agg(F.sum("mass").alias("mass")))
 
 
 def _with_all(total: DataFrame, reached: DataFrame, name: str) -> DataFrame:
@@ -122,21 +253,39 @@ def in_degree(lineage: DataFrame, reached: DataFrame) -> DataFrame:
     return reached.where("depth > 0").select("origin", "id").join(n, ["origin", "id"], "left").select("origin", "id", F.coalesce("n", F.lit(0)).cast("double").alias("score"))
 
 
+def _shared(left: Column, right: Column) -> Column:
+    """The first places of two arrays up to where they differ."""
+    n = F.least(F.size(left), F.size(right))
+    differ = F.filter(F.sequence(F.lit(1), n), lambda k: F.element_at(left, k) != F.element_at(right, k))
+    return F.slice(left, 1, F.coalesce(F.get(differ, F.lit(0)) - 1, n))
+
+
 def gateway(lineage: DataFrame, origins: DataFrame) -> DataFrame:
-    """How many other works an acyclic lineage loses with each work reached in it."""
-    step = checkpointed(lineage.select(F.col("origin").alias("o"), "source", "target"))
-    reached = checkpointed(closure(lineage).join(origins.select(F.col("origin").alias("a")), "a", "left_semi").where("a = origin").select("origin", F.col("b").alias("id")).where("id <> origin"))
-    frontier = reached.select("origin", F.col("id").alias("without"), F.col("origin").alias("id"))
-    seen = frontier
-    while True:
-        met = frontier.join(step, (F.col("origin") == F.col("o")) & (F.col("id") == F.col("source"))).where("target <> without").select("origin", "without", F.col("target").alias("id")).distinct()
-        frontier = checkpointed(met.join(seen, ["origin", "without", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    left = seen.groupBy("origin", F.col("without").alias("id")).agg(F.count("*").alias("left"))
-    whole = reached.groupBy("origin").agg((F.count("*") + 1).alias("whole"))
-    return left.join(whole, "origin").select("origin", "id", (F.col("whole") - 1 - F.col("left")).cast("double").alias("score"))
+    """How many other works an acyclic lineage loses with each work reached in it.
+
+    A work is lost with those that are on all paths to it. These are a path themselves,
+    which begins as the paths of all works that cite it begin alike, so as the least and
+    the greatest of them do. A work is told its path once all that cite it have told theirs."""
+    own = origins.select("origin").distinct()
+    reached = closure(lineage, own.withColumn("a", F.col("origin"))).select("origin", F.col("b").alias("id")).where("id <> origin").union(own.withColumn("id", F.col("origin")))
+    edges = lineage.select("origin", "source", "target").distinct().join(checkpointed(reached).withColumnRenamed("id", "source"), ["origin", "source"], "left_semi")
+    needed = edges.groupBy("origin", "target").agg(F.count("*").alias("needed"))
+    step = checkpointed(edges.join(needed, ["origin", "target"]).select(F.col("origin").alias("o"), "source", "target", "needed"))
+    new = checkpointed(own.select("origin", F.col("origin").alias("id"), F.array("origin").alias("path")))
+    waiting, paths, rows = None, None, new.count()
+    while rows:
+        told = step.join(_small(new, rows), (F.col("origin") == F.col("o")) & (F.col("id") == F.col("source")))
+        told = told.select("origin", "target", "needed", F.col("path").alias("low"), F.col("path").alias("high"), F.lit(1).cast("long").alias("n"))
+        told = told if waiting is None else told.union(waiting)
+        state = checkpointed(told.groupBy("origin", "target", "needed").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")))
+        waiting = state.where("n < needed")
+        path = F.concat(_shared(F.col("low"), F.col("high")), F.array("target"))
+        new = checkpointed(state.where("n = needed").select("origin", F.col("target").alias("id"), path.alias("path")))
+        paths = new if paths is None else paths.union(new)
+        rows = new.count()
+    # a work's own path has it last
+    lost = paths.select("origin", F.explode("path").alias("id")).groupBy("origin", "id").agg(F.count("*").alias("n"))
+    return lost.where("id <> origin").select("origin", "id", (F.col("n") - 1).cast("double").alias("score"))
 
 
 def pagerank(lineage: DataFrame, reached: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, most: int = 100) -> DataFrame:
@@ -171,7 +320,7 @@ def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
 def skeleton(lineage: DataFrame, shown: DataFrame) -> DataFrame:
     """Paths among shown works that no third shown work lies on, and whether each is a citation."""
     keep = shown.select("origin", "id")
-    paths = closure(lineage).join(keep.withColumnRenamed("id", "a"), ["origin", "a"], "left_semi").join(keep.withColumnRenamed("id", "b"), ["origin", "b"], "left_semi")
+    paths = closure(lineage, keep.withColumnRenamed("id", "a")).join(keep.withColumnRenamed("id", "b"), ["origin", "b"], "left_semi")
     paths = checkpointed(paths.where("a <> b").select("origin", "a", "b"))
     through = paths.select("origin", "a", F.col("b").alias("c")).join(paths.select("origin", F.col("a").alias("c"), "b"), ["origin", "c"]).select("origin", "a", "b")
     direct = lineage.select("origin", F.col("source").alias("a"), F.col("target").alias("b"), F.lit(True).alias("direct")).distinct()

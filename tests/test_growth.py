@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from ancestra.operators import metrics, temporal
+from ancestra.operators import metrics, temporal, walks
 
 
 def most_rows(df):
@@ -84,3 +85,57 @@ def test_roc_auc_parts_an_order(spark):
     assert abs(metrics.roc_auc(scored, ["scorer"]).first()["auc"] - told) < 1e-9
     ties = scored.groupBy("score").agg(F.count("*").alias("n"))
     assert ties.groupBy(metrics._part(ties, "score").alias("p")).count().agg(F.max("count")).first()[0] < 400
+
+
+def tangled(seed, n=120):
+    rng = random.Random(seed)
+    pairs = {(f"w{i:03d}", f"w{rng.randrange(max(0, i - 12), i):03d}") for i in range(1, n) for _ in range(3)}
+    pairs |= {(b, a) for a, b in pairs if rng.random() < 0.06}
+    return pairs
+
+
+def plain_knots(pairs):
+    on = {}
+    for a, b in pairs:
+        on.setdefault(a, []).append(b)
+
+    def after(x):
+        seen, todo = set(), [x]
+        while todo:
+            new = set(on.get(todo.pop(), [])) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    past = {x: after(x) for x in {y for p in pairs for y in p}}
+    alike = {x: {y for y in past[x] if x in past[y]} | {x} for x in past}
+    return {x: min(ys) for x, ys in alike.items() if len(ys) > 1}
+
+
+@pytest.mark.parametrize("searched", [walks.SEARCHED, 60])
+def test_knots_keep_no_row_a_pair(spark, monkeypatch, searched):
+    """By the search of one task, and by rounds of joins where an origin has too many citations."""
+    monkeypatch.setattr(walks, "SEARCHED", searched)
+    graphs = {"o1": tangled(5), "o2": tangled(6)}
+    rows = spark.createDataFrame([(o, a, b) for o, pairs in graphs.items() for a, b in pairs], "origin string, source string, target string")
+    found = {(r.origin, r.id): r.knot for r in walks.knots(rows).collect()}
+    assert found == {(o, x): k for o, pairs in graphs.items() for x, k in plain_knots(pairs).items()}
+    assert len(set(found.values())) > 2
+
+
+def test_mass_moves_alike_in_a_task_and_by_joins(spark, monkeypatch):
+    graphs = {"w119": tangled(5), "w100": tangled(6)}
+    rows = spark.createDataFrame([(o, a, b, 0.3) for o, pairs in graphs.items() for a, b in pairs], "origin string, source string, target string, w double")
+    origins = rows.select("origin").distinct()
+    one = {(r.origin, r.id): r.mass for r in walks.propagate(rows, origins, 1e-9, 12).collect()}
+    monkeypatch.setattr(walks, "SEARCHED", 0)
+    other = {(r.origin, r.id): r.mass for r in walks.propagate(rows, origins, 1e-9, 12).collect()}
+    assert one == {k: pytest.approx(m) for k, m in other.items()}
+
+
+def test_gateway_keeps_a_path_a_work(spark):
+    """A chain and a fork: rows grow with the paths on which all depend and not with all pairs."""
+    pairs = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(12)] + [("c12", "d1"), ("c12", "d2"), ("d1", "e"), ("d2", "e")]
+    lineage = spark.createDataFrame([("c00", a, b) for a, b in pairs], "origin string, source string, target string")
+    lost = {r.id: r.score for r in walks.gateway(lineage, lineage.select("origin").distinct()).collect()}
+    assert lost == {f"c{i:02d}": 15.0 - i for i in range(1, 13)} | {"d1": 0.0, "d2": 0.0, "e": 0.0}
