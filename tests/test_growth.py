@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ancestra.operators import metrics, temporal, walks
+from ancestra.operators import metrics, recover, temporal, walks
 
 
 def most_rows(df):
@@ -139,3 +139,16 @@ def test_gateway_keeps_a_path_a_work(spark):
     lineage = spark.createDataFrame([("c00", a, b) for a, b in pairs], "origin string, source string, target string")
     lost = {r.id: r.score for r in walks.gateway(lineage, lineage.select("origin").distinct()).collect()}
     assert lost == {f"c{i:02d}": 15.0 - i for i in range(1, 13)} | {"d1": 0.0, "d2": 0.0, "e": 0.0}
+
+
+def test_recovered_titles_make_no_pairs(spark):
+    """400 works and 400 references of one title, in many years: a row a year of a title, not a row a pair."""
+    nodes = [(f"W{i}", "Same title", 1900 + i % 40) for i in range(400)] + [("W900", "Same title", 1950), ("W901", "same-title!", None), ("W902", "Alone", None), ("W903", "", 2000)]
+    refs = [(f"S{i}", None, "same title.", 1900 + i % 40) for i in range(400)] + [("S900", None, "Alone", 1990), ("S901", None, "alone", None), ("S902", "7", "Alone", None), ("W902", None, "alone", None), ("S903", None, "", 2000)]
+    works = spark.createDataFrame(nodes, "id string, title string, year int")
+    told = recover.recovered(works, spark.createDataFrame(refs, "source string, ref_id string, ref_title string, ref_year int"))
+    assert {tuple(r) for r in told.collect()} == {("S900", "W902"), ("S901", "W902"), ("S902", "W7")}
+    assert most_rows(told) < 2000
+    dated = spark.createDataFrame([r for r in nodes if r[0] != "W901"], "id string, title string, year int")
+    told = recover.recovered(dated, spark.createDataFrame([(f"S{i}", None, "same title", 1951) for i in range(300)], "source string, ref_id string, ref_title string, ref_year int"))
+    assert {tuple(r) for r in told.collect()} == {(f"S{i}", "W900") for i in range(300)}
