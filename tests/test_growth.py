@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ancestra.operators import metrics, recover, temporal, walks
+from ancestra.operators import metrics, models, recover, temporal, walks
 
 
 def most_rows(df):
@@ -152,3 +152,16 @@ def test_recovered_titles_make_no_pairs(spark):
     dated = spark.createDataFrame([r for r in nodes if r[0] != "W901"], "id string, title string, year int")
     told = recover.recovered(dated, spark.createDataFrame([(f"S{i}", None, "same title", 1951) for i in range(300)], "source string, ref_id string, ref_title string, ref_year int"))
     assert {tuple(r) for r in told.collect()} == {(f"S{i}", "W900") for i in range(300)}
+
+
+def test_pairs_are_scored_by_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    nodes = [("c", "node", f"n{i:02d}", None, [i / 40, 1.0, rng.random(), rng.random(), 0.7], None, None) for i in range(40)]
+    pairs = [("c", kind, f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}", None, split, k % 2) for k in range(200) for kind, split in ((("message", None) if k % 3 else ("pair", ("train", "test")[k % 2])),)]
+    rows = spark.createDataFrame(nodes + pairs, "cut string, kind string, a string, b string, x array<double>, split string, label int")
+    told = []
+    for most in (models.PAIRS, 5):
+        monkeypatch.setattr(models, "PAIRS", most)
+        out = models.trained(rows, epochs=3)
+        told.append(sorted((r.source, r.target, r.split, r.label, round(r.logit, 9)) for r in out.collect()))
+    assert told[0] == told[1] and len(told[0]) == sum(p[1] == "pair" for p in pairs)
