@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
 #: Words too common to tell works apart.
 STOPWORDS = """the and for with that this from are our can which have has been using used use new two its their
@@ -52,6 +52,21 @@ def first_author_key(authors: Column, ascii_only: bool = False) -> Column:
     return F.coalesce(run, F.regexp_replace(name, r"\s", ""), F.lit(""))
 
 
+@F.pandas_udf(MapType(StringType(), ArrayType(IntegerType())))
+def inverted(texts: pd.Series) -> pd.Series:
+    """Places by word of texts parted by spaces: built-in functions would sort or deal out all words."""
+
+    def places(x: str | None) -> dict[str, list[int]] | None:
+        if x is None:
+            return None
+        out: dict[str, list[int]] = {}
+        for k, word in enumerate(x.split(" ")):
+            out.setdefault(word, []).append(k)
+        return out
+
+    return texts.map(places, na_action="ignore")
+
+
 def inverted_to_text(index: Column) -> Column:
     """A map of word to places as text; null for a null or empty map."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
