@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ancestra.operators import metrics, models, recover, temporal, walks
+from ancestra.operators import content, metrics, models, recover, temporal, walks
+from ancestra.plans import catalog
 
 
 def most_rows(df):
@@ -165,3 +166,21 @@ def test_pairs_are_scored_by_blocks(spark, monkeypatch):
         out = models.trained(rows, epochs=3)
         told.append(sorted((r.source, r.target, r.split, r.label, round(r.logit, 9)) for r in out.collect()))
     assert told[0] == told[1] and len(told[0]) == sum(p[1] == "pair" for p in pairs)
+
+
+def test_vectors_of_some_works_alone(spark):
+    """They count all works, but only their own words are dealt out to be weighed."""
+    nodes = [("a", "Graph graph theory", "walks on walks"), ("b", "Graph", None), ("c", "", ""), ("d", None, "zeta graph the"), ("e", "walks", "again")]
+    table = spark.createDataFrame(nodes, "id string, title string, abstract string")
+    every = {(r.id, r.word): round(r.weight, 9) for r in content.tfidf(table).collect()}
+    some = {(r.id, r.word): round(r.weight, 9) for r in content.tfidf(table, only=table.where("id = 'a'")).collect()}
+    assert some and some == {k: w for k, w in every.items() if k[0] == "a"}
+
+
+def test_inverted_index_stays_in_its_row(spark, tmp_path):
+    texts = ["a b a", "", None, "one", "b  b ", "a b a"]
+    rows = spark.createDataFrame([(k % 5, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.inverted_index_roundtrip(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.abstract or "") for r in out.collect()) == sorted((k % 5, t or "") for k, t in enumerate(texts))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
