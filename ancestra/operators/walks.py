@@ -97,7 +97,8 @@ def _searched(group: pd.DataFrame) -> pd.DataFrame:
                     for x in own:
                         knots[x] = least
     found = [v for v in range(n) if knots[v] >= 0]
-    return pd.DataFrame({"origin": group.origin.iloc[0] if found else [], "id": ids[found], "knot": ids[[knots[v] for v in found]]})
+    names = ids.to_numpy(dtype=object)
+    return pd.DataFrame({"origin": [group.origin.iloc[0]] * len(found), "id": [names[v] for v in found], "knot": [names[knots[v]] for v in found]}, dtype=object)
 
 
 def _coloured(left: DataFrame) -> tuple[DataFrame, DataFrame]:
